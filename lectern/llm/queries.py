@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import sentences
+from lectern.llm import lookalikes, sentences
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -23,5 +23,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(p1_records(spark, d))
 
 
-QUERIES = {"p1_found": p1_found}
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    """Block texts, narrations and quotes as field_name, record_id, text."""
+    blocks = _read(spark, d, "rag_document_blocks").select(F.lit("block_text").alias("field_name"), F.col("block_id").alias("record_id"), "text")
+    sections = _read(spark, d, "script_sections").select(F.lit("narration").alias("field_name"), F.col("section_id").cast("string").alias("record_id"), F.col("narration").alias("text"))
+    quotes = _read(spark, d, "sentence_checks").select(F.lit("quote").alias("field_name"), F.col("check_id").cast("string").alias("record_id"), F.col("quote").alias("text"))
+    return blocks.unionByName(sections).unionByName(quotes)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.variants(p4_records(spark, d))
+
+
+def p4_unified(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.unified(p4_records(spark, d))
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_unified": p4_unified}
 SQL: dict[str, str] = {}
