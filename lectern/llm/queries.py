@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import lookalikes, sentences
+from lectern.llm import lookalikes, scans, sentences
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -39,5 +39,13 @@ def p4_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.unified(p4_records(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_unified": p4_unified}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise(_read(spark, d, "rag_document_blocks"), _read(spark, d, "rag_document_chunks"))
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(_read(spark, d, "rag_document_blocks"), _read(spark, d, "rag_document_chunks"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_unified": p4_unified}
 SQL: dict[str, str] = {}
