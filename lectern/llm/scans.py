@@ -38,7 +38,9 @@ RUNNING = ("paragraph", "footnote", "other", "caption")
 _D = r"(?:[0-9lIOoSB|]{1,6}|[ivxlcdmIVXLCDM]{1,10})"
 _NUM = re.compile(rf"\s*(?:[-–—]\s*{_D}\s*[-–—]|\[\s*{_D}\s*\]|(?:page|Page|PAGE|p\.|Seite)\s*{_D}|{_D}\s*/\s*{_D}|({_D}))\s*$")
 _BOTH = re.compile(rf"\s*(?:{_D}\s{{2,}}(\S.*?)|(\S.*?)\s{{2,}}{_D})\s*$")
-_SKIP = re.compile(r"\s{4}|def |\||[A-Z]_\d+ = |(?:[-•*]|\d{1,3}[.)])\s")
+_SKIP = re.compile(r"\s{4}|def |\||[A-Z]_\d+ = ")
+_ITEM = re.compile(r"(?:[-•*]|\d{1,3}\))\s")
+_ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 _TOKEN = re.compile(r"[^\W_]+")
 _COMPOUND = re.compile(r"([^\W\d_]+)-(?=([^\W\d_]+))")
 _BROKEN = re.compile(r"([^\W_]+)([-¬‐­])\s*$")
@@ -95,20 +97,34 @@ def _plain(text: str) -> str:
     return text if text.isascii() else fold(re.sub(r"­(?=\s*\n)", "¬", text))
 
 
-def _running(text: str) -> tuple[list[str], list[tuple[int, str, str]], list[int]]:
+def _skipped(lines: list[str], p: list[int]) -> bool:
+    """Code, tables, formulas and list items of one line are not running text."""
+    return bool(_SKIP.match(lines[p[0]])) or len(p) == 1 and bool(_ITEM.match(lines[p[0]])) and not _NUM.match(lines[p[0]])
+
+
+def _value(number: str) -> int | None:
+    """The value of an arabic or roman page number."""
+    t = number.strip().lower()
+    if t.isdigit():
+        return int(t)
+    n = [_ROMAN.get(c, 0) for c in t]
+    return sum(-a if a < b else a for a, b in zip(n, n[1:] + [0])) if n and all(n) else None
+
+
+def _running(text: str, page: int | None = None) -> tuple[list[str], list[tuple[int, str, str]], list[int]]:
     """Lines of the folded text, candidates for furniture as (line, kind, form or key), and lines of running text."""
     lines = _plain(text).split("\n")
     furniture: list[tuple[int, str, str]] = []
     running: list[int] = []
     for p in _paragraphs(lines):
-        if _SKIP.match(lines[p[0]]):
+        if _skipped(lines, p):
             continue
         kinds = [_kind_of_line(lines[i]) for i in p]
         for j, (i, (k, v)) in enumerate(zip(p, kinds)):
             near = [kinds[x][0] for x in (j - 1, j + 1) if 0 <= x < len(p)]
             if k == "num":
                 if j in (0, len(p) - 1) or "head" in near:
-                    sure = v == "set" or len(p) == 1 or "head" in near
+                    sure = v == "set" or len(p) == 1 or "head" in near or page is not None and _value(lines[i]) == page
                     furniture.append((i, "num", "sure" if sure else "bare"))
                     continue
             elif k == "both":
@@ -157,7 +173,7 @@ def _scanner(known: frozenset[str]):
                     if _kind_of_line(text)[0] == "head":
                         rows.append((table, rid, doc, 0, "title", _key(text), None, page))
                     continue
-                lines, furniture, running = _running(text)
+                lines, furniture, running = _running(text, page if table == "blocks" else None)
                 rows += [(table, rid, doc, i, k, v, None, page) for i, k, v in furniture]
                 taken: set[tuple[int, int]] = set()
                 for j, i in enumerate(running):
@@ -300,7 +316,7 @@ def repair_text(text: str, marks: list) -> str:
     lines = _plain(text).split("\n")
     out: list[str] = []
     for p in _paragraphs(lines):
-        if _SKIP.match(lines[p[0]]):
+        if _skipped(lines, p):
             out.append("\n".join(lines[i] for i in p))
             continue
         s = ""
