@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import lookalikes, scans, sentences
+from lectern.llm import lookalikes, packing, scans, sentences, splitting
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -47,5 +47,30 @@ def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scans.repaired(_read(spark, d, "rag_document_blocks"), _read(spark, d, "rag_document_chunks"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_unified": p4_unified}
-SQL: dict[str, str] = {}
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_pieces(*(_read(spark, d, t) for t in ("rag_document_chunks", "chunk_limits", "rag_chunk_source_blocks", "rag_document_blocks")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.oversized(p3_pieces(spark, d))
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.token_counts(_read(spark, d, "documents")), _read(spark, d, "pack_containers"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.summary(p6_packed(spark, d), _read(spark, d, "pack_containers"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_unified, p6_packed, p6_fill,
+    )
+}
+SQL: dict[str, str] = {
+    "p3_found": """
+        select distinct limit_name, chunk_id from rag_document_chunks c join chunk_limits l
+        on octet_length(encode(c.text)) > 4 * l.max_tokens""",
+}
