@@ -146,7 +146,7 @@ def representatives(counts: dict[str, int]) -> dict[tuple[str, str], str]:
 
 @lru_cache(2)
 def _tools(counts: tuple[tuple[str, int], ...] = ()):
-    """The automaton over all members, each with its representative by ``counts``, and a regex that any member needs."""
+    """The automaton over all members, each with its representative by ``counts``, and the characters of which any member has one."""
     members, kind = class_of()
     best = representatives(dict(counts))
     auto = ahocorasick.Automaton()
@@ -156,7 +156,7 @@ def _tools(counts: tuple[tuple[str, int], ...] = ()):
         to = "" if "" in scripts else best.get((m, script(m[0])) if script(m[0]) in scripts else (m, min(scripts)), plain[0] if plain else "")
         auto.add_word(m, (m, to, kind[m]))
     auto.make_automaton()
-    odd = re.compile("[" + "".join(sorted({re.escape(c) for m in kind for c in m if len(m) == 1 or unicodedata.combining(c)})) + "]")
+    odd = frozenset(c for m in kind for c in m if len(m) == 1 or unicodedata.combining(c))
     return auto, odd
 
 
@@ -230,7 +230,7 @@ def unify(text: str, whole: frozenset[str] | None = frozenset(), counts: tuple[t
         return text, set()
     kinds: set[str] = set()
     auto, odd = _tools(counts)
-    if odd.search(text):
+    if not odd.isdisjoint(text):
         out: list[str] = []
         at = 0
         for end, (m, plain, k) in auto.iter_long(text):
@@ -280,7 +280,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if text.isascii() and "\t" not in text and "\r" not in text and "\v" not in text and "\f" not in text:
                 continue
             plain, kinds = unify(text)
-            used.update(_tools()[1].findall(plain))
+            used.update(c for c in plain if c in _tools()[1])
             rows += [(f, i, k, None, None, 1) for k in sorted(kinds)]
             if _CYRGRK.search(plain):
                 words = list(_WORD.finditer(plain))

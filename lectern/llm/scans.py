@@ -42,9 +42,10 @@ _SKIP = re.compile(r"\s{4}|def |\||[A-Z]_\d+ = ")
 _ITEM = re.compile(r"(?:[-•*]|\d{1,3}\))\s")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 _TOKEN = re.compile(r"[^\W_]+")
-_COMPOUND = re.compile(r"([^\W\d_]+)-(?=([^\W\d_]+))")
-_BROKEN = re.compile(r"([^\W_]+)([-¬‐­])\s*$")
-_AT_END = re.compile(r"[^\W_]+[-¬‐­][^\S\n]*\n\s*(?:[^\W_]+)?")
+_COMPOUND = re.compile(r"(?<![^\W\d_])([^\W\d_]++)-(?=([^\W\d_]+))")
+_BROKEN = re.compile(r"(?<![^\W_])([^\W_]+)([-¬‐­])\s*$")
+_SIGNS = ("-", "¬", "\u2010", "\u00ad")
+_AT_END = re.compile(r"(?<![^\W_])[^\W_]++[-¬‐\u00ad][^\S\n]*\n\s*(?:[^\W_]+)?")
 _FIRST = re.compile(r"\s*([^\W_]+)")
 
 SCAN = "table_name string, record_id string, doc string, line_no int, kind string, a string, b string, page int"
@@ -177,7 +178,7 @@ def _scanner(known: frozenset[str]):
                 rows += [(table, rid, doc, i, k, v, None, page) for i, k, v in furniture]
                 taken: set[tuple[int, int]] = set()
                 for j, i in enumerate(running):
-                    m = _BROKEN.search(lines[i])
+                    m = _BROKEN.search(lines[i]) if lines[i].rstrip()[-1:] in _SIGNS else None
                     if m and not m.group(1).isdigit():
                         nxt = running[j + 1] if j + 1 < len(running) else None
                         right = _FIRST.match(lines[nxt]) if nxt is not None else None
