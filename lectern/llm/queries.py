@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import lookalikes, packing, scans, sentences, splitting
+from lectern.llm import leaks, lookalikes, packing, reading, scans, sentences, splitting
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -63,10 +63,22 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.summary(p6_packed(spark, d), _read(spark, d, "pack_containers"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(_read(spark, d, "documents"), _read(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(_read(spark, d, "documents"), _read(spark, d, "reading_labels"))
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    return reading.profile(p8_found(spark, d))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_unified, p6_packed, p6_fill,
+        p1_found, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_unified, p6_packed, p6_fill, p7_found, p8_found, p8_profile,
     )
 }
 SQL: dict[str, str] = {
