@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import leaks, lookalikes, packing, reading, scans, sentences, splitting
+from lectern.llm import defects, leaks, lookalikes, packing, reading, scans, sentences, splitting
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -75,10 +75,14 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return reading.profile(p8_found(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.defects(_read(spark, d, "llm_calls"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_unified, p6_packed, p6_fill, p7_found, p8_found, p8_profile,
+        p1_found, p2_found, p2_repaired, p3_found, p3_pieces, p4_found, p4_unified, p5_found, p6_packed, p6_fill, p7_found, p8_found, p8_profile,
     )
 }
 SQL: dict[str, str] = {
