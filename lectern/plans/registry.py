@@ -1,6 +1,435 @@
-"""Registered queries of the core: name -> (spark, directory) -> DataFrame, and their SQL."""
+"""Registered queries of the core: name -> (spark, directory) -> DataFrame, and their SQL.
+
+Every query runs over its whole tables.  Where both engines compute floats, they are rounded to nine digits.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lectern.functions import text as T
+from lectern.operators import blocks as B
+from lectern.operators import chunking, evaluation, grounding, retrieval, state, store, timeline, traces
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+class Data:
+    """Tables of a directory by name."""
+
+    def __init__(self, spark: SparkSession, d: str) -> None:
+        self.spark, self.d = spark, d
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.d}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[Data], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, d: f(Data(spark, d))
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+COS = "list_dot_product(q.embedding::double[], v.embedding::double[]) / (sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) * sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])))"
+HITS = f"""
+    select query_id, vec_id, s as similarity, label, qlabel, row_number() over (partition by query_id order by round(s, 9) desc, vec_id) as rank
+    from (select q.vec_id as query_id, v.vec_id, v.label, q.label as qlabel, {COS} as s from embeddings q, embeddings v where q.vec_id % 100 = 0)"""
+
+
+def _queries_of(t: Data) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 100."""
+    return t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _hits(t: Data, k: int = 20) -> DataFrame:
+    return retrieval.top_k(t.embeddings, _queries_of(t), k)
+
+
+def _judged(t: Data, k: int) -> DataFrame:
+    e = t.embeddings
+    h = _hits(t, k).join(e.select("vec_id", "label"), "vec_id").join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("qlabel")), "query_id")
+    return h.withColumn("relevant", (F.col("label") == F.col("qlabel")) & (F.col("vec_id") != F.col("query_id")))
+
+
+@query(f"select query_id, vec_id, rank, round(similarity, 9) as similarity from ({HITS}) where rank <= 20")
+def vector_topk(t):
+    return _hits(t).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 9).alias("similarity"))
+
+
+@query(f"""select query_id, vec_id, row_number() over (partition by query_id order by round(s, 9) desc, vec_id) as rank from (
+    select q.vec_id as query_id, v.vec_id, {COS} as s from embeddings q join embeddings v on q.label = v.label where q.vec_id % 100 = 0) qualify rank <= 5""")
+def vector_topk_scoped(t):
+    q = F.broadcast(t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label"))
+    s = t.embeddings.join(q, "label").select("query_id", "vec_id", retrieval.cosine(F.col("q"), F.col("embedding")).alias("s"))
+    w = Window.partitionBy("query_id").orderBy(F.round("s", 9).desc(), "vec_id")
+    return s.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("query_id", "vec_id", "rank")
+
+
+@query("select vec_id, coalesce(len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0, false) as valid from embeddings")
+def vector_validity(t):
+    return t.embeddings.select("vec_id", retrieval.valid_vector(F.col("embedding"), 64).alias("valid"))
+
+
+@query(f"""select query_id, round(max(similarity), 9) as best, case when max(similarity) >= 0.75 then 'covered' when max(similarity) >= 0.6 then 'weak' else 'absent' end as level
+    from ({HITS}) where rank <= 20 and vec_id <> query_id group by query_id""")
+def coverage_band(t):
+    return retrieval.coverage(_hits(t).where("vec_id <> query_id")).withColumn("best", F.round("best", 9))
+
+
+@query(f"""with r as (select query_id, min(rank) filter (where label = qlabel and vec_id <> query_id) as found from ({HITS}) where rank <= 20 group by query_id)
+    select query_id, found from r""")
+def first_relevant_rank(t):
+    return evaluation.first_relevant(_judged(t, 20)).withColumn("found", F.col("found").cast("long"))
+
+
+_FOUND = f"(select query_id, any_value(qlabel) as category, min(rank) filter (where label = qlabel and vec_id <> query_id) as found from ({HITS}) where rank <= 20 group by query_id)"
+
+
+@query(f"""select count(*) as queries, avg((coalesce(found, 99) <= 1)::int) as recall_1, avg((coalesce(found, 99) <= 3)::int) as recall_3, avg((coalesce(found, 99) <= 5)::int) as recall_5,
+    coalesce(round(sum(1.0::double / found) / count(*), 9), 0) as mrr from {_FOUND}""")
+def recall_and_mrr(t):
+    return evaluation.recall_at(evaluation.first_relevant(_judged(t, 20)), (1, 3, 5))
+
+
+@query(f"""select category, count(*) as queries, avg((coalesce(found, 99) <= 5)::int) as recall_5, coalesce(round(sum(1.0::double / found) / count(*), 9), 0) as mrr from {_FOUND} group by category""")
+def recall_by_category(t):
+    j = _judged(t, 20)
+    return evaluation.recall_at(evaluation.first_relevant(j).join(j.select("query_id", F.col("qlabel").alias("category")).distinct(), "query_id"), (5,), ["category"])
+
+
+@query("""with s as (select coalesce(duration_seconds, 0.0) as x from llm_calls)
+    select min(x) as lowest, median(x) as median, max(x) as highest from s""")
+def score_range(t):
+    return evaluation.score_range(t.llm_calls.select(F.col("duration_seconds").alias("score")))
+
+
+@query("""with s as (select distinct call_id, round(duration_seconds, 1) as score, error is null as positive from llm_calls where duration_seconds is not null),
+    d as (select distinct score from s),
+    cuts as (select (score + lead(score) over (order by score)) / 2 as t from d union all select min(score) - 1e-9 from d union all select max(score) + 1e-9 from d),
+    b as (select score, count(*) as n, sum(positive::int) as p from s group by score),
+    a as (select t, sum(case when score >= t then p else n - p end) / (select count(*) from s) as acc from cuts, b where t is not null group by t)
+    select round(t, 9) as threshold, round(acc, 9) as accuracy from a order by round(acc, 12) desc, t limit 1""")
+def threshold_search(t):
+    s = t.llm_calls.where("duration_seconds is not null").select("call_id", F.round("duration_seconds", 1).alias("score"), F.col("error").isNull().alias("positive")).distinct()
+    return evaluation.best_threshold(s).select(F.round("threshold", 9).alias("threshold"), F.round("accuracy", 9).alias("accuracy"))
+
+
+@query("""with a as (select document_id, chunk_id, row_number() over (order by token_count_estimate desc nulls last, chunk_id) as pos from rag_document_chunks),
+    b as (select document_id, chunk_id, row_number() over (order by length(text) desc, chunk_id) as pos from rag_document_chunks),
+    r as (select 0 as l, chunk_id as item, pos as rank, 'vector' as method from a where pos <= 20 union all select 1, chunk_id, pos, 'keyword' from b where pos <= 20)
+    select item, round(sum(1.0::double / (60 + rank)), 12) as score, list_sort(list(method), 'desc') as methods from r group by item""")
+def rrf_fusion(t):
+    c = t.rag_document_chunks
+    pick = lambda no, method, *order: c.orderBy(*order).limit(20).select(F.lit(no).alias("list_no"), F.row_number().over(Window.orderBy(*order)).alias("pos"), F.col("chunk_id").alias("item"), F.lit(method).alias("method"))
+    both = pick(0, "vector", F.col("token_count_estimate").desc_nulls_last(), "chunk_id").unionByName(pick(1, "keyword", F.length("text").desc(), "chunk_id"))
+    return retrieval.fuse(both).select("item", "score", "methods")
+
+
+@query("""select chunk_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: w in ('pressure', 'glacier', 'temperature')))::bigint as hits
+    from rag_document_chunks where hits > 0""")
+def keyword_raw(t):
+    return retrieval.keyword_hits(t.rag_document_chunks, ["pressure", "Glacier", "temperature"])
+
+
+@query("select chunk_id, case when text = '' then 0 else greatest(1, ceil(octet_length(encode(text)) / 4.0)) end::int as tokens from rag_document_chunks")
+def token_estimate(t):
+    return t.rag_document_chunks.select("chunk_id", T.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("""select item_id, array_to_string(list_distinct_keep, ' ') as terms from (
+    select item_id, list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1])[1:64] as list_distinct_keep
+    from (select item_id, regexp_extract_all(lower(question), '[\\p{L}\\p{N}]+') as w from eval_items))""")
+def query_terms(t):
+    return t.eval_items.select("item_id", F.array_join(T.query_terms(F.col("question")), " ").alias("terms"))
+
+
+@query("select block_id, sha256(text) as sha, 'objects/' || left(sha256(text), 2) || '/' || sha256(text) || '/source.pdf' as key from rag_document_blocks")
+def content_hash(t):
+    sha = F.sha2("text", 256)
+    return t.rag_document_blocks.select("block_id", sha.alias("sha"), T.content_key(sha).alias("key"))
+
+
+@query("select user_id, source_sha256, count(*) as copies, min(document_id) as first_id from rag_documents group by user_id, source_sha256")
+def dedupe_by_hash(t):
+    return t.rag_documents.groupBy("user_id", "source_sha256").agg(F.count("*").alias("copies"), F.min("document_id").alias("first_id"))
+
+
+@query("select chunk_id, sha256('title: ' || case when coalesce(trim(title), '') = '' then 'none' else trim(title) end || ' | text: ' || trim(text, ' ')) as sha from rag_document_chunks join rag_documents using (document_id)")
+def embedding_input(t):
+    j = t.rag_document_chunks.select("chunk_id", "document_id", "text").join(t.rag_documents.select("document_id", "title"), "document_id")
+    return j.select("chunk_id", F.sha2(T.embedding_input(F.col("title"), F.col("text")), 256).alias("sha"))
+
+
+@query("select chunk_id from rag_document_chunks where content_sha256 <> sha256(text) or token_count_estimate is null")
+def missing_embeddings(t):
+    c = t.rag_document_chunks
+    done = c.where("token_count_estimate is not null").select("chunk_id", F.lit("m").alias("model_name"), F.sha2("text", 256).alias("content_sha256"))
+    return store.missing_embeddings(c.select("chunk_id", "content_sha256"), done, "m").select("chunk_id")
+
+
+@query("select vec_id, label + 100 * (vec_id % 2 = 0)::int as label from embeddings")
+def embedding_upsert(t):
+    e = t.embeddings.select("vec_id", F.col("label").cast("int").alias("label"), F.lit(1).alias("version"))
+    return store.upsert(e, e.where("vec_id % 2 = 0").select("vec_id", (F.col("label") + 100).alias("label"), F.lit(2).alias("version")), ["vec_id"], "version").select("vec_id", "label")
+
+
+@query("""with h as (select chunk_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(chunk_id)) as h from rag_document_chunks)
+    select chunk_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ('89ab')[1 + strpos('0123456789abcdef', h[17]) - 1 - 4 * ((strpos('0123456789abcdef', h[17]) - 1) // 4)] || h[18:20] || '-' || h[21:32] as id from h""")
+def uuid5_ids(t):
+    return t.rag_document_chunks.select("chunk_id", T.uuid5(F.col("chunk_id")).alias("id"))
+
+
+@query("""select block_id, case lower(source_label) when 'title' then 'title' when 'section_header' then 'heading' when 'text' then 'paragraph' when 'paragraph' then 'paragraph'
+    when 'list_item' then 'list_item' when 'table' then 'table' when 'picture' then 'figure' when 'figure' then 'figure' when 'formula' then 'equation' when 'equation' then 'equation'
+    when 'code' then 'code' when 'caption' then 'caption' when 'footnote' then 'footnote' else 'other' end as kind from rag_document_blocks""")
+def block_types(t):
+    return t.rag_document_blocks.select("block_id", B.block_type(F.col("source_label")).alias("kind"))
+
+
+@query(r"""with b as (select document_id, ordinal, source_label, text, lead(text, 1) over w as t1, lead(text, 2) over w as t2, lead(ordinal, 1) over w as o1, lead(ordinal, 2) over w as o2
+    from rag_document_blocks where trim(text, ' ') <> '' window w as (partition by document_id order by ordinal)),
+    h as (select * from b where (source_label = 'title' or source_label = 'section_header' and len(regexp_split_to_array(trim(text), '\s+')) >= 4 and length(text) >= 20)
+    and regexp_matches(t1, '^(?:[A-Z][A-Za-z''’-]*|[A-Z]\.)(?:\s+(?:[A-Z][A-Za-z''’-]*|[A-Z]\.)){1,4}$') and regexp_matches(t2, '(?i)\b(?:department|college|university|institute|school|laboratory)\b'))
+    select document_id, ordinal, 'title' as role from h union all select document_id, o1, 'author' from h union all select document_id, o2, 'affiliation' from h""")
+def metadata_roles(t):
+    return B.metadata_roles(t.rag_document_blocks)
+
+
+@query("""with b as (select document_id, ordinal, text, block_type = 'heading' and trim(text, ' ') <> '' as is_h, greatest(1, least(6, coalesce(heading_level, 1))) as lv from rag_document_blocks),
+    n as (select b.document_id, b.ordinal, h.ordinal as ho, h.lv, h.text, min(h.lv) over (partition by b.document_id, b.ordinal order by h.ordinal desc rows between unbounded preceding and 1 preceding) as lower_later
+    from b join b h on b.document_id = h.document_id and h.is_h and h.ordinal <= b.ordinal)
+    select b.document_id, b.ordinal, coalesce(string_agg(n.text, ' > ' order by n.ho) filter (where n.lower_later is null or n.lower_later > n.lv), '') as path
+    from b left join n using (document_id, ordinal) group by b.document_id, b.ordinal""")
+def section_path(t):
+    return B.section_paths(t.rag_document_blocks).select("document_id", "ordinal", F.array_join("path", " > ").alias("path"))
+
+
+_LAYER = "select document_id, page_number, sum(length(text)) as layer_chars from rag_document_blocks where page_number is not null group by all"
+
+
+@query(f"""select l.document_id, l.page_number from ({_LAYER}) l left join
+    (select document_id, page_number, sum(length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g'))) as chars from rag_document_blocks where block_type = 'paragraph' group by all) b
+    on l.document_id = b.document_id and l.page_number = b.page_number where layer_chars >= 300 and coalesce(chars, 0) < 0.25 * layer_chars""")
+def lost_pages(t):
+    b = t.rag_document_blocks
+    layer = b.where("page_number is not null").groupBy("document_id", "page_number").agg(F.sum(F.length("text")).alias("layer_chars"))
+    return B.lost_pages(layer, b.where("block_type = 'paragraph'"))
+
+
+@query("""select block_id, case when block_type = 'figure' and coalesce(trim(caption), '') <> '' and strpos(text, caption) = 0 then case when text = '' then caption else text || chr(10) || caption end
+    when block_type = 'table' and coalesce(trim(caption), '') <> '' then 'Table caption: ' || caption || chr(10) || text else text end as content from rag_document_blocks""")
+def block_content(t):
+    return t.rag_document_blocks.select("block_id", B.content_text(F.col("block_type"), F.col("text"), F.col("caption")).alias("content"))
+
+
+@query("""select block_id, 'negative ordinal' as problem from rag_document_blocks where ordinal < 0 union all select block_id, 'page not positive' from rag_document_blocks where page_number <= 0
+    union all select block_id, 'ordinal twice' from (select block_id, count(*) over (partition by document_id, ordinal) as n from rag_document_blocks) where n > 1""")
+def block_violations(t):
+    return B.violations(t.rag_document_blocks)
+
+
+@query()
+def chunk_documents(t):
+    return chunking.chunk(t.rag_document_blocks)
+
+
+@query()
+def chunk_summary(t):
+    return chunking.summary(chunking.chunk(t.rag_document_blocks))
+
+
+@query("select chunk_id, lag(chunk_id) over w as previous_chunk_id, lead(chunk_id) over w as next_chunk_id from rag_document_chunks window w as (partition by document_id order by sequence_index, chunk_id)")
+def section_links(t):
+    return store.linked(t.rag_document_chunks)
+
+
+@query("""select c.chunk_id, array_to_string(list_sort(list(distinct l.block_id)), ',') as missing from rag_chunk_source_blocks l join rag_document_chunks c using (chunk_id)
+    left join rag_document_blocks b on b.block_id = l.block_id and b.document_id = c.document_id where b.block_id is null group by c.chunk_id""")
+def chunk_ref_violations(t):
+    return store.broken_references(t.rag_chunk_source_blocks, t.rag_document_blocks, t.rag_document_chunks).select("chunk_id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("""select d.document_id, count(distinct c.chunk_id) as chunks, count(distinct b.block_id) filter (where b.block_type = 'figure') as figures from rag_documents d
+    left join rag_document_chunks c using (document_id) left join rag_document_blocks b using (document_id) group by d.document_id""")
+def paper_report(t):
+    c = t.rag_document_chunks.groupBy("document_id").agg(F.count_distinct("chunk_id").alias("chunks"))
+    f = t.rag_document_blocks.where("block_type = 'figure'").groupBy("document_id").agg(F.count_distinct("block_id").alias("figures"))
+    zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
+    return t.rag_documents.select("document_id").distinct().join(c, "document_id", "left").join(f, "document_id", "left").select("document_id", zero("chunks"), zero("figures"))
+
+
+@query("""select i.item_id, p.doc_id from (select item_id, unnest(answer_phrases) as phrase from eval_items) i join documents p on contains(lower(p.text), lower(i.phrase)) where trim(phrase) <> '' group by all""")
+def phrase_relevance(t):
+    items = t.eval_items.limit(10_001)
+    phrases = items.select("item_id", F.explode("answer_phrases").alias("phrase")).where("trim(phrase) <> ''").select("item_id", F.lower("phrase").alias("phrase"))
+    rows = phrases.collect()
+    if len(rows) > 10_000:
+        raise ValueError("more phrases than one pass over the texts checks")
+    low = F.lower("text")
+    found = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(r["phrase"])), F.lit(r["item_id"])) for r in rows))) if rows else F.array().cast("array<bigint>")
+    return t.documents.select("doc_id", F.explode(F.array_distinct(found)).alias("item_id")).distinct()
+
+
+@query("""select section_id, len(list_filter(regexp_split_to_array(regexp_replace(trim(coalesce(narration, ''), ' '), '\\n', ' ', 'g'), '[ \\t\\n\\f\\r\\x0b]+'), lambda w: w <> ''))::int as words from script_sections""")
+def script_words(t):
+    return t.script_sections.select("section_id", T.word_count(F.col("narration")).alias("words"))
+
+
+@query("""with w as (select run_id, len(list_filter(regexp_split_to_array(coalesce(narration, ''), '[ \\t\\n\\f\\r\\x0b]+'), lambda w: w <> '')) as words from script_sections)
+    select run_id, sum(words)::bigint as words, sum(words) < 0.7 * 2 * 130 as too_short from w group by run_id""")
+def script_length_check(t):
+    g = t.script_sections.groupBy("run_id").agg(F.sum(T.word_count(F.col("narration"))).alias("words"))
+    return g.withColumn("too_short", F.col("words") < 0.7 * 2 * 130)
+
+
+@query("""with w as (select section_id, len(list_filter(regexp_split_to_array(coalesce(narration, ''), '[ \\t\\n\\f\\r\\x0b]+'), lambda w: w <> ''))::double as words from script_sections)
+    select section_id, greatest(2.0, round(words / 150.0 * 60.0 + 0.5, 2)) as seconds from w""")
+def speech_duration(t):
+    return t.script_sections.select("section_id", T.speech_seconds(T.word_count(F.col("narration"))).alias("seconds"))
+
+
+@query("""with p as (select run_id, section_id, coalesce(length(narration), 0)::bigint * 60 as ms from script_sections)
+    select run_id, section_id, (sum(ms) over w - ms)::bigint as start_ms, (sum(ms) over w)::bigint as end_ms from p window w as (partition by run_id order by section_id rows unbounded preceding)""")
+def running_times(t):
+    return timeline.running(t.script_sections.select("run_id", "section_id", (F.coalesce(F.length("narration"), F.lit(0)).cast("long") * 60).alias("ms")), "run_id", "section_id")
+
+
+@query("""with b as (select document_id, ordinal, block_type = lag(block_type) over (partition by document_id order by ordinal) as same from rag_document_blocks)
+    select document_id, ordinal, sum((not coalesce(same, false))::int) over (partition by document_id order by ordinal)::bigint as grp from b""")
+def step_grouping(t):
+    w = Window.partitionBy("document_id").orderBy("ordinal")
+    b = t.rag_document_blocks.select("document_id", "ordinal", F.coalesce(F.col("block_type") == F.lag("block_type").over(w), F.lit(False)).alias("with_previous"))
+    return timeline.step_groups(b, "document_id", "ordinal")
+
+
+@query("""with b as (select event_id // 20 as frame, event_id as id, (event_id * 37 % 100)::double as x0, (event_id * 53 % 60)::double as y0 from events), c as (select *, x0 + 20 as x1, y0 + 12 as y1 from b)
+    select a.frame, a.id as a, b.id as b from c a join c b on a.frame = b.frame and a.id < b.id and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1
+    where (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 0.1 * 240""")
+def box_overlaps(t):
+    e = t.events.select(F.floor(F.col("event_id") / 20).alias("frame"), F.col("event_id").alias("id"), (F.col("event_id") * 37 % 100).cast("double").alias("x0"), (F.col("event_id") * 53 % 60).cast("double").alias("y0"))
+    return timeline.overlaps(e.withColumn("x1", F.col("x0") + 20).withColumn("y1", F.col("y0") + 12))
+
+
+@query("select document_id, case when s = '' then 'lesson' else s end as slug from (select document_id, trim(left(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', '-', 'g'), 60), '-') as s from rag_documents)")
+def slugs(t):
+    return t.rag_documents.select("document_id", T.slug(F.coalesce("title", F.lit(""))).alias("slug"))
+
+
+@query("select document_id, len(list_filter(string_split(source_asset_key, '/'), lambda s: s in ('', '.', '..') or contains(s, ':') or contains(s, chr(92)))) = 0 as safe from rag_documents")
+def safe_paths(t):
+    return t.rag_documents.select("document_id", T.safe_path(F.col("source_asset_key")).alias("safe"))
+
+
+@query("""select chunk_id, case when page_start is null then null when page_end is null or page_start = page_end then 'page ' || page_start else 'pages ' || page_start || '-' || page_end end as label from rag_document_chunks""")
+def page_labels(t):
+    return t.rag_document_chunks.select("chunk_id", T.page_label(F.col("page_start"), F.col("page_end")).alias("label"))
+
+
+@query(r"""select block_id, len(regexp_extract_all(text, '[\p{L}\p{N}]'))::int as letters from rag_document_blocks""")
+def letter_counts(t):
+    return t.rag_document_blocks.select("block_id", F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", "")).alias("letters"))
+
+
+@query(r"""select section_id, translate(regexp_replace(background, '[ \t\n\f\r\x0b$]+', '', 'g'), '−–—', '---') as compact from script_sections""")
+def compact_equations(t):
+    return t.script_sections.select("section_id", T.compact_equation(F.col("background")).alias("compact"))
+
+
+@query(r"""select section_id, case when coalesce(trim(background), '') = '' then null when regexp_matches(background, '[0-9%=<>$]') then 'digit or symbol'
+    when regexp_matches(background, '(?i)\b(?:the paper|the authors?|this study|results? shows?|experiments? shows?)\b') then 'claim about the paper'
+    when len(regexp_split_to_array(trim(background), '[.!?]["'')\]]*[ \t\n\f\r\x0b]+')) > 2 then 'too long' end as problem from script_sections""")
+def background_rules(t):
+    return t.script_sections.select("section_id", grounding.background_problem(F.col("background")).alias("problem"))
+
+
+@query()
+def numbers_supported(t):
+    c = t.sentence_checks.select("check_id", "sentence", "quote").distinct()
+    return c.select("check_id", F.array_join(grounding.unsupported_numbers(F.coalesce("sentence", F.lit("")), F.coalesce("quote", F.lit(""))), ",").alias("unsupported")).where("unsupported <> ''")
+
+
+@query(r"""with s as (select distinct section_id as part, sentence_index as i, not supported as rejected, regexp_matches(sentence, '(?i)^(?:it|this|that|these|those|they|he|she|such|therefore|however|thus)\b') as refers_back, check_id from sentence_checks),
+    a as (select *, sum((not rejected and not refers_back)::int) over (partition by part order by i, check_id rows unbounded preceding) as island from s),
+    b as (select *, max(rejected::int) over (partition by part, island order by i, check_id rows between unbounded preceding and 1 preceding) as prior from a)
+    select check_id, case when rejected then 'rejected' when refers_back and coalesce(prior, 0) = 1 then 'dependent' else 'kept' end as fate from b""")
+def sentence_removal(t):
+    s = t.sentence_checks.select("section_id", "sentence_index", "check_id", (~F.col("supported")).alias("rejected"), F.col("sentence").rlike(grounding.REFERS_BACK).alias("refers_back")).distinct()
+    parts = s.select(F.col("section_id").alias("part"), F.struct("sentence_index", "check_id").alias("i"), "rejected", "refers_back")
+    return grounding.removal(parts).select(F.col("i.check_id").alias("check_id"), "fate")
+
+
+@query("""with s as (select part_no, section_id, count(distinct sentence_index) as n from (select section_id, sentence_index, section_id as part_no from sentence_checks) group by all)
+    select section_id as part from (select section_id, count(*) as rows_, count(distinct sentence_index) as d, max(sentence_index) as m, min(sentence_index) as l from (select distinct check_id, section_id, sentence_index from sentence_checks) group by section_id) where rows_ <> d or l < 0 or m >= rows_""")
+def verdict_index_problems(t):
+    v = t.sentence_checks.select("check_id", F.col("section_id").alias("part"), F.col("sentence_index").alias("i")).distinct()
+    return grounding.index_problems(v, v)
+
+
+@query("""with c as (select distinct call_id, run_id, label, seq from llm_calls), n as (select *, row_number() over (partition by run_id, label order by seq, call_id) as n from c)
+    select call_id, case when n = 1 then label else label || ' #' || n end as shown from n""")
+def log_labels(t):
+    return state.labelled(t.llm_calls.select("call_id", "run_id", "label", "seq").distinct())
+
+
+@query("""select run_id, count(*) as calls, round(sum(duration_seconds) filter (where duration_seconds > 0), 3) as seconds from (select distinct call_id, run_id, duration_seconds from llm_calls) group by run_id""")
+def log_totals(t):
+    return state.totals(t.llm_calls.select("call_id", "run_id", "duration_seconds").distinct())
+
+
+@query("select user_id, max_by(event_type, (epoch_us(ts), event_id)) as event_type from events group by user_id")
+def status_latest(t):
+    return state.latest(t.events, "user_id", ["ts", "event_id"], "event_type")
+
+
+_STATUS = "case event_type when 'signup' then 'queued' when 'view' then 'parsing' when 'click' then 'chunking' when 'purchase' then 'ready' else 'failed' end"
+
+
+@query(f"""with e as (select user_id, event_id, {_STATUS} as status, lag({_STATUS}) over (partition by user_id order by ts, event_id) as prev from events)
+    select event_id, prev, status from e where prev is not null and not coalesce(
+    (prev, status) in (('queued','parsing'),('queued','failed'),('parsing','chunking'),('parsing','failed'),('chunking','storing'),('chunking','failed'),('storing','embedding'),('storing','failed'),('embedding','ready'),('embedding','failed'),('failed','queued'),('failed','embedding')), false)""")
+def status_illegal(t):
+    e = t.events.withColumn("status", F.expr(_STATUS))
+    return state.illegal(e, "user_id", ["ts", "event_id"]).select("event_id", "prev", "status")
+
+
+@query("""with e as (select user_id as key, event_id as id, count(*) over (partition by user_id order by epoch_us(ts) range between 259199999999 preceding and current row) as n from events where event_type = 'error')
+    select key, id, n from e where n >= 3""")
+def limiter_window(t):
+    return state.limiter_windows(t.events.where("event_type = 'error'").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts"), 3, 72 * 3600)
+
+
+@query(r"""select doc_id, len(list_filter(string_split(regexp_replace(trim(text, ' '), '([.!?])[ \t\n\f\r\x0b]+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> ''))::int as n from documents where text is not null""")
+def sentences_simple(t):
+    return t.documents.where("text is not null").select("doc_id", F.size(T.simple_sentences(F.col("text"))).alias("n"))
+
+
+@query("""select doc_id, case when length(x) > 300 then left(x, 299) || '…' else x end as line from (select doc_id, trim(regexp_replace(text, '[ \\t\\n\\f\\r\\x0b]+', ' ', 'g'), ' ') as x from documents)""")
+def one_line(t):
+    return t.documents.select("doc_id", T.one_line(F.col("text")).alias("line"))
+
+
+@query("""with r as (select * from (values ('bytes=0-99', 1000), ('bytes=900-', 1000), ('bytes=-100', 1000), ('bytes=1000-', 1000), ('bytes=a-b', 1000), ('bytes=-0', 10), ('bytes=5-4', 10), ('bytes=-2000', 1000)) v(header, size))
+    select * from (values ('bytes=0-99', 0, 99), ('bytes=900-', 900, 999), ('bytes=-100', 900, 999), ('bytes=1000-', -1, -1), ('bytes=a-b', null, null), ('bytes=-0', -1, -1), ('bytes=5-4', -1, -1), ('bytes=-2000', 0, 999)) v(header, start_byte, end_byte)""")
+def byte_range(t):
+    rows = [("bytes=0-99", 1000), ("bytes=900-", 1000), ("bytes=-100", 1000), ("bytes=1000-", 1000), ("bytes=a-b", 1000), ("bytes=-0", 10), ("bytes=5-4", 10), ("bytes=-2000", 1000)]
+    r = t.spark.createDataFrame(rows, "header string, size long").withColumn("r", T.byte_range(F.col("header"), F.col("size")))
+    return r.select("header", F.col("r.start").cast("int").alias("start_byte"), F.col("r.end").cast("int").alias("end_byte"))
+
+
+@query()
+def trace_steps(t):
+    traces.register(t.spark)
+    tests = "select * from values (array(1, 3, 5, 7, 9), 7), (array(3, 1, 2), 1) as v(a, b)"
+    one = lambda name: t.spark.sql(f"select '{name}' as tracer, s.step, cast(s.values as string) as state, s.event from ({tests}) v, lateral trace_{name}(v.a, v.b) s")
+    out = one("binary_search")
+    for name in ("linear_search", "bubble_sort", "insertion_sort"):
+        out = out.unionAll(one(name))
+    return out
