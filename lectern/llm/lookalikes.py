@@ -153,7 +153,9 @@ def _tools(counts: tuple[tuple[str, int], ...] = ()):
     for m in kind:
         plain = [x for x in members[m] if x not in kind]
         scripts = {script(x[0]) if x else "" for x in plain}
-        to = "" if "" in scripts else best.get((m, script(m[0])) if script(m[0]) in scripts else (m, min(scripts)), plain[0] if plain else "")
+        # a form keeps its script: a full-width Latin letter becomes a Latin one
+        own = script((unicodedata.normalize("NFKC", m) or m)[0])
+        to = "" if "" in scripts else best.get((m, own) if own in scripts else (m, min(scripts)), plain[0] if plain else "")
         auto.add_word(m, (m, to, kind[m]))
     auto.make_automaton()
     odd = frozenset(c for m in kind for c in m if len(m) == 1 or unicodedata.combining(c))
