@@ -1,7 +1,8 @@
 """Reading level of each document (problem 8).
 
 Method: a smoothed unigram language model per level (1 easiest to 5 hardest), trained on labelled texts; a text gets the
-level of the highest posterior.  Where there are too few labels, texts are seeded by the Flesch-Kincaid grade formula.
+level of the highest posterior.  A word counts once per text, as its repetitions say little more, and the likelihood is
+tempered against the prior.  Where there are too few labels, texts are seeded by the Flesch-Kincaid grade formula.
 
 A text is English when English function words outnumber those of other languages and most letters are Latin.
 
@@ -89,18 +90,19 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 g = grade(found, len(re.findall(r"[.!?]+(?:\s|$)", text)))
                 levels = [1 + int(g > 4) + int(g > 8) + int(g > 12) + int(g > 17)]
             part = 1 / len(levels)
-            seen = Counter(found)
+            seen = set(found)
             for lv in levels:
                 n[int(lv), None] += part
-                for w, c in seen.items():
-                    n[int(lv), w] += c * part
+                for w in seen:
+                    n[int(lv), w] += part
     yield pd.DataFrame([(lv, w, c) for (lv, w), c in n.items()], columns=["level", "word", "n"])
 
 
 class Model:
     """Log probabilities of words by level, smoothed towards the words of all levels."""
 
-    def __init__(self, counts: dict[tuple[int, str | None], float], strength: float = 50.0, least: float = 1.0) -> None:
+    def __init__(self, counts: dict[tuple[int, str | None], float], strength: float = 50.0, least: float = 1.0, temper: float = 0.1) -> None:
+        self.temper = temper
         total: Counter = Counter()
         by = {lv: 0.0 for lv in LEVELS}
         for (lv, w), c in counts.items():
@@ -118,11 +120,8 @@ class Model:
             self.words[w] = np.array([math.log((counts.get((lv, w), 0) + strength * back) / (by[lv] + strength)) - math.log(back) for lv in LEVELS])
 
     def posterior(self, found: list[str]) -> np.ndarray:
-        out = self.prior.copy()
-        for w, c in Counter(found).items():
-            if (x := self.words.get(w)) is not None:
-                out += c * x
-        return out
+        known = [x for w in set(found) if (x := self.words.get(w)) is not None]
+        return self.prior + self.temper * np.sum(known, axis=0) if known else self.prior
 
     def level(self, found: list[str]) -> int:
         return LEVELS[int(np.argmax(self.posterior(found)))]
