@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,20 @@ def wrap(text: str, width: int = 72) -> list[str]:
         else:
             out.append(w)
     return out
+
+
+def clip_fit(actual: Column, target: Column, most: float = 1.15) -> Column:
+    """How a clip is made to fit: padded, played faster by at most ``most``, or left as it is, as ``pad x`` or ``speed x``."""
+    factor = F.greatest(target / actual, F.lit(1 / most))
+    return F.when(actual <= target, F.concat(F.lit("pad "), F.format_string("%.3f", target - actual))).otherwise(F.concat(F.lit("speed "), F.format_string("%.6f", factor)))
+
+
+def step_seconds(audio: Column, steps: Column, each: float = 0.6) -> Column:
+    """The first step takes what the others, of equal length, leave, and a second at least."""
+    return F.concat(F.array(F.greatest(F.lit(1.0), F.round(audio - steps * each, 3))), F.array_repeat(F.lit(each), steps))
+
+
+def size_label(size: Column) -> Column:
+    """MB with one decimal, or whole KB, at least one."""
+    mb = F.concat(F.format_string("%.1f", size / 1_000_000.0), F.lit(" MB"))
+    return F.when(size >= 1_000_000, mb).otherwise(F.concat(F.greatest(F.lit(1), F.ceil(size / 1000.0)).cast("long"), F.lit(" KB")))

@@ -433,3 +433,36 @@ def trace_steps(t):
     for name in ("linear_search", "bubble_sort", "insertion_sort"):
         out = out.unionAll(one(name))
     return out
+
+
+@query("""with v as (select distinct check_id, section_id, sentence, verdict, quote from sentence_checks), j as (select v.*, s.part_name, s.narration as cited from v join script_sections s using (section_id))
+    select check_id, coalesce(verdict = 'framing' and part_name in ('introduction', 'conclusion') and not regexp_matches(sentence, '[0-9]')
+    or verdict = 'supported' and length(regexp_replace(coalesce(quote, ''), '[^\\p{L}\\p{N}]', '', 'g')) >= 15
+    and contains(regexp_replace(lower(coalesce(cited, '')), '[ \\t\\n\\f\\r\\x0b]+', '', 'g'), regexp_replace(lower(coalesce(quote, '')), '[ \\t\\n\\f\\r\\x0b]+', '', 'g')), false) as passes from j""")
+def verdict_judge(t):
+    v = t.sentence_checks.select("check_id", "section_id", "sentence", "verdict", "quote").distinct()
+    return grounding.judged(v.join(t.script_sections.select("section_id", "part_name", F.col("narration").alias("cited")), "section_id"))
+
+
+@query("""select distinct call_id, case when duration_seconds <= 20 then 'pad ' || printf('%.3f', 20 - duration_seconds) else 'speed ' || printf('%.6f', greatest(20 / duration_seconds, 1 / 1.15::double)) end as fit
+    from llm_calls where duration_seconds > 0""")
+def clip_fit(t):
+    return t.llm_calls.where("duration_seconds > 0").select("call_id", timeline.clip_fit(F.col("duration_seconds"), F.lit(20.0)).alias("fit")).distinct()
+
+
+@query("""select distinct call_id, round(epoch_us(recorded_at) / 1e6 - epoch_us(started_at) / 1e6, 1) as seconds from llm_calls""")
+def elapsed_seconds(t):
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    return t.llm_calls.select("call_id", F.round(us("recorded_at") - us("started_at"), 1).alias("seconds")).distinct()
+
+
+@query("""select doc_id, case when n >= 1000000 then printf('%.1f', n / 1000000.0::double) || ' MB' else greatest(1, ceil(n / 1000.0))::bigint || ' KB' end as label
+    from (select doc_id, octet_length(encode(text))::bigint as n from documents)""")
+def size_labels(t):
+    return t.documents.select("doc_id", timeline.size_label(F.octet_length("text").cast("long")).alias("label"))
+
+
+@query(r"""select doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```[a-zA-Z]*\n?(.*?)```', '\1', 'g'), '`([^`]*)`', '\1', 'g'),
+    '\*\*(.*?)\*\*', '\1', 'g'), '\*(.*?)\*', '\1', 'g'), '(?m)^#{1,6}\s*', '', 'g'), '(?m)^\s*[-*+]\s+', '', 'g')) as sha from documents""")
+def markdown_strip(t):
+    return t.documents.select("doc_id", F.sha2(T.strip_markdown(F.col("text")), 256).alias("sha"))
