@@ -118,11 +118,11 @@ def _pack(g: pd.DataFrame) -> pd.DataFrame:
     return g[["container_name", "capacity", "grp", "container_no", "doc_id", "piece_no", "start_token", "tokens"]].astype({"container_no": "int64"})
 
 
-def pack(counts: DataFrame, containers: DataFrame, group_tokens: int = 16_000_000, poor: float = 0.98) -> DataFrame:
+def pack(counts: DataFrame, containers: DataFrame, group_tokens: int = 16_000_000, group_rows: int = 500_000, poor: float = 0.98) -> DataFrame:
     """container_name, container_id, doc_id, piece_no, start_token, tokens: every token of ``counts(doc_id, tokens)`` in a
     container of each kind of ``containers(container_name, capacity_tokens)``.
 
-    group_tokens: tokens that one task packs, about; poor: containers filled less than this are packed again in groups of
+    group_tokens, group_rows: tokens and items that one task packs, about; poor: containers filled less than this are packed again in groups of
     that size.
     """
     rows = containers.where("capacity_tokens > 0").select("container_name", "capacity_tokens").distinct().limit(MOST_CONTAINERS + 1).collect()
@@ -130,8 +130,8 @@ def pack(counts: DataFrame, containers: DataFrame, group_tokens: int = 16_000_00
         raise ValueError(f"more than {MOST_CONTAINERS} kinds of container")
     kinds = F.array(*(F.struct(F.lit(r["container_name"]).alias("container_name"), F.lit(int(r["capacity_tokens"])).cast("long").alias("capacity")) for r in rows)) if rows else F.array().cast("array<struct<container_name:string,capacity:bigint>>")
     counts = counts.where("tokens > 0").distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    total = counts.agg(F.sum("tokens")).first()[0] or 0
-    groups = max(1, -(-total // group_tokens))
+    total, number = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    groups = max(1, -(-total // group_tokens), -(-number // group_rows))
     items = counts.withColumn("k", F.explode(kinds)).select("k.*", "doc_id", "tokens")
     starts = F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.col("capacity"))
     items = items.select("container_name", "capacity", "doc_id", "tokens", F.posexplode(starts).alias("piece_no", "start_token"))
@@ -148,8 +148,9 @@ def pack(counts: DataFrame, containers: DataFrame, group_tokens: int = 16_000_00
     marked = first.join(fill, ["container_name", "grp", "container_no"])
     good = marked.where("not poor").withColumn("container_id", F.concat_ws("-", F.lit("0"), "grp", "container_no"))
     left = marked.where("poor").drop("poor", "container_no")
-    left_total = left.groupBy("container_name").agg(F.sum("tokens").alias("n")).agg(F.max("n")).first()[0] or 0
-    again = left.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(max(1, -(-left_total // group_tokens))))).groupBy("container_name", "grp").applyInPandas(_pack, PACKED)
+    by = left.groupBy("container_name").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+    most, number = by.agg(F.coalesce(F.max("tokens"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    again = left.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(max(1, -(-most // group_tokens), -(-number // group_rows))))).groupBy("container_name", "grp").applyInPandas(_pack, PACKED)
     again = again.withColumn("container_id", F.concat_ws("-", F.lit("1"), "grp", "container_no"))
     return full.select(*result).unionByName(good.select(*result)).unionByName(again.select(*result))
 
