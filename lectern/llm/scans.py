@@ -251,7 +251,10 @@ def evidence(blocks: DataFrame, chunks: DataFrame, known_words: int = 20_000) ->
     counts = texts.select("text").mapInPandas(_count_words, COUNTS).groupBy("word", "kind").agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
     words = counts.where("kind = 'word'").select("word", "n")
     fixes = corrections(words).persist(StorageLevel.MEMORY_AND_DISK)
-    known = frozenset(r["word"] for r in words.join(fixes, "word", "left_anti").orderBy(F.desc("n"), "word").limit(known_words).collect())
+    # at most two million words have such a share of all; eight tasks then send known_words each
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = words.where(F.col("n") * 2_000_000 >= total).join(fixes, "word", "left_anti").repartition(8, "word")
+    known = frozenset(r["word"] for r in frequent.orderBy(F.desc("n"), "word").limit(known_words).collect())
     scan = _inputs(blocks, chunks).mapInPandas(_scanner(known), SCAN).persist(StorageLevel.MEMORY_AND_DISK)
     where = ["table_name", "record_id", "line_no"]
     none = F.lit(None).cast("string")
