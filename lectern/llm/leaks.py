@@ -1,16 +1,14 @@
 """Evaluation texts leaking into training text (problem 7).
 
-Method: winnowing.  Of every window of ``window`` consecutive word k-grams the rightmost one of minimal hash is kept, in the
-corpus and in the test passages alike, so each shared span of ``k + window - 1`` words shares a fingerprint.  Shared
-fingerprints give the candidate pairs; each is extended to the stretch around its hits, at most three times as long as
-the passage, and kept when the passage's words stand there in order: at least half of them by number and at
-least half by weight, a word's weight being its rarity among all documents (else chance runs of common words count).
+Method: exact bounds.  A text is a candidate for every passage of which it has enough words in whatever order, at
+least half by number and at least half by weight, a word's weight being its rarity among all documents (else chance
+runs of common words count).  The same bound is then taken of each stretch at most three times as long as the passage;
+where it is reached, the words must stand there in order.  No pair is left out that holds half of the passage.
 
 Words are compared in one character form, without case and punctuation; characters of scripts without spaces are words.
 
-Behaviour in corner cases: null and blank texts and passages leak nothing; repeated rows give a pair once; passages
-shorter than k words are compared as one k-gram of their length; a passage whose words are in every document weighs
-by number only; extra columns are ignored; empty tables give an empty result.
+Behaviour in corner cases: null and blank texts and passages leak nothing; repeated rows give a pair once; a passage
+may be as short as one word; a passage whose words are in every document weighs by number only; extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.lookalikes import fold
@@ -31,10 +29,8 @@ from lectern.llm.lookalikes import fold
 _WORDS = re.compile(r"[฀-๿⺀-〿぀-ヿ㐀-鿿豈-﫿]|[^\W_฀-๿⺀-〿぀-ヿ㐀-鿿豈-﫿]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 STRETCH = 3
-#: Share of the worth of a passage's fingerprints that must be hit within one stretch; half of its words in runs hit more.
-HIT_SHARE = 0.12
-#: Share of a passage's fingerprints, whatever their worth, that a text must hit for the passage to be looked at.
-HIT_COUNT = 0.2
+#: A word that more passages than this have is not counted when candidates are sought, but taken to be in the text.
+MOST_OWNERS = 1000
 
 
 def words(text: str | None) -> list[str]:
@@ -83,11 +79,17 @@ def winnow(numbers: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.nda
     return at, h[at]
 
 
-def lcs(a: list, b: list) -> int:
-    """Length of the longest common subsequence, by bits of one long number."""
+def bits(a: list) -> dict:
+    """The places of each member of a list as bits of one long number."""
     place: dict = {}
     for i, x in enumerate(a):
         place[x] = place.get(x, 0) | 1 << i
+    return place
+
+
+def lcs(a: list, b: list, place: dict | None = None) -> int:
+    """Length of the longest common subsequence, by bits of one long number."""
+    place = bits(a) if place is None else place
     full = (1 << len(a)) - 1
     v = full
     for y in b:
@@ -102,97 +104,145 @@ def heaviest(a: list, b: list, weight: dict) -> float:
     places: dict = {}
     for j, y in enumerate(b):
         places.setdefault(y, []).append(j)
+    places = {x: np.array(at) for x, at in places.items()}
     row = np.zeros(len(b) + 1)
     for x in a:
-        if at := places.get(x):
-            at = np.array(at)
-            new = row.copy()
-            new[at + 1] = np.maximum(new[at + 1], row[at] + weight[x])
-            row = np.maximum.accumulate(new)
+        if (at := places.get(x)) is not None:
+            more = row[at] + weight[x]
+            at = at + 1
+            row[at] = np.maximum(row[at], more)
+            np.maximum.accumulate(row, out=row)
     return float(row[-1])
 
 
-class Passage:
-    """A passage's words with their weights."""
-
-    def __init__(self, passage: list[str], weight: dict) -> None:
-        self.words, self.n = passage, len(passage)
-        self.weight = {x: weight[x] for x in passage}
-        self.total = sum(self.weight[x] for x in passage)
-        self.bag = Counter(passage)
-        self.parts = [(x, n, n * self.weight[x]) for x, n in self.bag.items()]
-
-
-def _enough(p: Passage, have, share: float) -> bool:
-    """Whether words (any container with counts) could hold a large enough part of the passage, in whatever order."""
-    n = w = 0
-    for x, c, _ in p.parts:
-        k = have.get(x, 0)
-        if k:
-            k = min(k, c)
-            n += k
-            w += k * p.weight[x]
-    return n >= share * p.n and w >= share * p.total
-
-
-def dense(hits: list[tuple[int, int, float]], most: int, least: float) -> list[tuple[int, int]]:
-    """Stretches of at most ``most`` places whose different fingerprints are worth at least ``least``."""
-    out, inside, i, worth = [], Counter(), 0, 0.0
-    for place, f, w in hits:
-        inside[f] += 1
-        if inside[f] == 1:
-            worth += w
-        while place - hits[i][0] >= most:
-            inside[hits[i][1]] -= 1
-            if inside[hits[i][1]] == 0:
-                worth -= hits[i][2]
-            i += 1
-        if worth >= least - 1e-9:
-            out.append((hits[i][0], place))
-    return out
-
-
-def holds(p: Passage, text: list[str], hits: list[tuple[int, int, float]], worth: float, share: float, present: set | None = None, hit_share: float = HIT_SHARE) -> bool:
-    """Whether some stretch around the hits (place in the text, fingerprint, what it is worth) has enough of the passage in its order.
-
-    worth: of all fingerprints of the passage, one being worth the less the more passages have it; a stretch needs
-    ``hit_share`` of it to be looked at.
-    """
-    stretches = dense(sorted(hits), STRETCH * p.n, hit_share * worth)
-    if not stretches:
-        return False
-    if present is not None and sum(w for x, _, w in p.parts if x in present) < share * p.total:
-        return False
-    # only the parts of the text that a stretch can lie in are looked at
-    most, parts = STRETCH * p.n, []
-    for a, b in stretches:
-        if parts and b - most <= parts[-1][1]:
-            parts[-1][1] = max(parts[-1][1], a + most)
-            parts[-1][2].append((a, b))
-        else:
-            parts.append([max(0, b - most), a + most, [(a, b)]])
-    return any(_aligned(p, text[lo:hi], [(a - lo, b - lo) for a, b in near], share) for lo, hi, near in parts)
-
-
-def _aligned(p: Passage, text: list[str], stretches: list[tuple[int, int]], share: float) -> bool:
-    present = set(text)
-    if sum(w for x, _, w in p.parts if x in present) < share * p.total:
-        return False
-    most, step, n = STRETCH * p.n, max(1, p.n // 8), len(text)
-    get = p.weight.get
-    weights = np.array([get(x, 0.0) for x in text])
-    inside = np.flatnonzero(weights)
-    heavy = np.concatenate([[0.0], np.cumsum(weights)])
-    near = np.zeros(n // step + 1, dtype=bool)
-    for a, b in stretches:
-        near[max(0, b - most + 1) // step : a // step + 1] = True
-    starts = np.flatnonzero(near) * step
-    ends = np.minimum(starts + most, n)
-    for s, e in zip(*(x[heavy[ends] - heavy[starts] >= share * p.total].tolist() for x in (starts, ends))):
-        part = [text[j] for j in inside[np.searchsorted(inside, s) : np.searchsorted(inside, e)].tolist()]
-        if len(part) >= share * p.n and _enough(p, Counter(part), share) and lcs(p.words, part) >= share * p.n and heaviest(p.words, part, p.weight) >= share * p.total:
+class Passages:
+    """The passages, their words numbered, with each word's weight and the passages that have it."""
+
+    def __init__(self, items: dict[int, list[str]], weight: dict[str, float], share: float) -> None:
+        self.names = sorted(items)
+        self.words = [items[i] for i in self.names]
+        self.number = {w: n for n, w in enumerate(sorted({w for p in self.words for w in p}))}
+        self.bags, self.rows, self.places = [], [], []
+        owners: list[list[tuple[int, int]]] = [[] for _ in self.number]
+        for j, p in enumerate(self.words):
+            bag = Counter(p)
+            first = Counter(p[: len(p) // 2])
+            self.bags.append(tuple(np.array(x, dtype=np.int64) for x in ([self.number[w] for w in bag], [first[w] for w in bag], [n - first[w] for w, n in bag.items()])))
+            self.rows.append([self.number[w] for w in p])
+            self.places.append(bits(self.rows[-1]))
+            for w, n in bag.items():
+                owners[self.number[w]].append((j, n))
+        self.each = np.array([weight[w] for w in self.number] + [0.0])
+        self.least_n = np.array([share * len(p) for p in self.words])
+        self.least_w = np.array([share * sum(weight[w] for w in p) for p in self.words]) - 1e-9
+        # the owners of all words in one row; a word that very many have is taken to be in every text
+        self.length = np.array([len(o) if len(o) <= MOST_OWNERS else 0 for o in owners], dtype=np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.array([j for o in owners if len(o) <= MOST_OWNERS for j, _ in o], dtype=np.int64)
+        self.times = np.array([n for o in owners if len(o) <= MOST_OWNERS for _, n in o], dtype=np.int64)
+        self.given_n, self.given_w = np.zeros(len(self.names)), np.zeros(len(self.names))
+        for x, o in enumerate(owners):
+            for j, n in o if len(o) > MOST_OWNERS else ():
+                self.given_n[j] += n
+                self.given_w[j] += n * self.each[x]
+        self.cap = np.zeros(len(self.number) + 1, dtype=np.int64)
+
+    def found(self, text: list[str]) -> list[int]:
+        """Names of the passages that the text holds."""
+        get, none = self.number.get, len(self.number)
+        numbers = np.array([get(w, none) for w in text], dtype=np.int64)
+        at = np.flatnonzero(numbers < none)
+        numbers = numbers[at]
+        return [self.names[j] for j in self._candidates(numbers) if self._holds(j, at, numbers)]
+
+    def _candidates(self, numbers: np.ndarray) -> list[int]:
+        """The passages of which the text has enough words, by number and by weight, in whatever order."""
+        x, n = np.unique(numbers, return_counts=True)
+        parts = self.length[x]
+        rows = np.repeat(self.start[x] - np.cumsum(parts) + parts, parts) + np.arange(parts.sum())
+        j, k = self.flat[rows], np.minimum(self.times[rows], np.repeat(n, parts))
+        most = len(self.names)
+        enough = self.given_n + np.bincount(j, weights=k, minlength=most) >= self.least_n
+        enough &= self.given_w + np.bincount(j, weights=k * np.repeat(self.each[x], parts), minlength=most) >= self.least_w
+        return np.flatnonzero(enough).tolist()
+
+    def _holds(self, j: int, at: np.ndarray, numbers: np.ndarray) -> bool:
+        """Whether some stretch of the text has enough of a passage in its order.
+
+        at, numbers: places and numbers of the text's words that some passage has.
+        """
+        xs, first, second = self.bags[j]
+        self.cap[xs] = first + second
+        at, numbers = (x[self.cap[numbers] > 0] for x in (at, numbers))
+        cap = self.cap[numbers]
+        self.cap[xs] = first
+        early = self.cap[numbers]
+        late = cap - early
+        self.cap[xs] = 0
+        p, most, weight = self.rows[j], STRETCH * len(self.rows[j]), self.each[numbers]
+        ends = np.searchsorted(at, at + most)
+
+        def enough(a: int, b: int) -> bool:
+            some = slice(a, ends[b])
+            n, w = halves(numbers[some], early[some], late[some], weight[some])
+            if n < self.least_n[j] or w < self.least_w[j]:
+                return False
+            part = numbers[some].tolist()
+            return lcs(p, part, self.places[j]) >= self.least_n[j] and heaviest(p, part, self.each) >= self.least_w[j]
+
+        if ends[0] == len(at):
+            return enough(0, 0)
+        n, w = windows(at, numbers, cap, weight, most)
+        # a stretch that ends with the one before it holds nothing more
+        starts = np.flatnonzero((n >= self.least_n[j]) & (w >= self.least_w[j]) & (np.diff(ends, prepend=0) > 0))
+        if not len(starts):
+            return False
+        best = int(starts[np.argmax(w[starts])])
+        if enough(best, best):
             return True
-    return False
+        # what the stretches from a to b don't hold together none of them holds
+        near = at[starts] // max(1, most // 8)
+        todo = [x.tolist() for x in np.split(starts, np.flatnonzero(np.diff(near)) + 1)]
+        while todo:
+            some = todo.pop()
+            if enough(some[0], some[-1]):
+                if len(some) == 1:
+                    return True
+                todo += [some[len(some) // 2 :], some[: len(some) // 2]]
+        return False
+
+
+def windows(at: np.ndarray, numbers: np.ndarray, cap: np.ndarray, weight: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the stretch of ``most`` places from each place on: how many words it has, and their weight, none counted more than ``cap`` times."""
+    order = np.argsort(numbers, kind="stable")
+    x, places = numbers[order], at[order]
+    earlier = np.arange(len(x)) - cap[order]
+    before = np.where(earlier >= np.searchsorted(x, x), places[np.maximum(earlier, 0)], -1)
+    # a word counts in the stretches that begin after its cap-th occurrence before and reach it
+    first = np.searchsorted(at, np.maximum(before, places - most) + 1)
+    size = len(at) + 1
+    n = np.bincount(first, minlength=size) - np.bincount(order + 1, minlength=size)
+    w = np.bincount(first, weights=weight[order], minlength=size) - np.bincount(order + 1, weights=weight[order], minlength=size)
+    return np.cumsum(n)[:-1], np.cumsum(w)[:-1] + 1e-9
+
+
+def halves(numbers: np.ndarray, early: np.ndarray, late: np.ndarray, weight: np.ndarray) -> tuple[int, float]:
+    """Bounds of the number and the weight of a common subsequence: words of a passage's first half stand before some
+    place of the text and those of its second half after it.
+
+    early, late: how often each word stands in the first and the second half of the passage.
+    """
+    order = np.argsort(numbers, kind="stable")
+    x, i = numbers[order], np.arange(len(numbers))
+    before, after = np.empty_like(i), np.empty_like(i)
+    before[order] = i - np.searchsorted(x, x)
+    after[order] = np.searchsorted(x, x, side="right") - 1 - i
+    before, after = before < early, after < late
+    out = []
+    for v in (1, weight):
+        left, right = np.cumsum(before * v), np.cumsum((after * v)[::-1])[::-1]
+        out.append(max(right[0], left[-1], (left[:-1] + right[1:]).max(initial=0)))
+    return out[0], out[1] + 1e-9
 
 
 def _frequencies(tested: frozenset[str]):
@@ -207,120 +257,69 @@ def _frequencies(tested: frozenset[str]):
     return count
 
 
-def _finder(items: dict[int, list[str]], weight: dict[str, float], k: int, window: int, share: float):
-    names = sorted(items)
-    number = Numbers()
-    own: list[set[int]] = [set(winnow(number(items[i]), k, window)[1].tolist()) for i in names]
-    keys = np.array(sorted(set().union(*own)), dtype=np.uint64)
-    owners: dict[int, list[int]] = {}
-    for j, prints in enumerate(own):
-        for h in prints:
-            owners.setdefault(h, []).append(j)
-    # the owners of all fingerprints in one row, with the place and length of each one's part
-    length = np.array([len(owners[h]) for h in keys.tolist()], dtype=np.int64)
-    start = np.cumsum(length) - length
-    flat = np.array([j for h in keys.tolist() for j in owners[h]], dtype=np.int64)
-    worth = 1 / np.maximum(length, 1)
-    size = np.bincount(flat, minlength=len(names))
-    total = np.bincount(flat, weights=np.repeat(worth, length), minlength=len(names))
-    place_of = {h: n for n, h in enumerate(keys.tolist())}
-    own = [{place_of[h] for h in prints} for prints in own]
-    short = {len(p) for p in items.values() if len(p) < k}
-    passages = [Passage(items[i], weight) for i in names]
-
+def _finder(items: dict[int, list[str]], weight: dict[str, float], share: float):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = Numbers()
+        passages = Passages(items, weight, share)
         for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                w = words(text)
-                if not w or not len(keys):
-                    continue
-                n = number(w)
-                at, h = winnow(n, k, window)
-                for m in short:
-                    more = winnow(n, m, 1)
-                    at, h = np.concatenate([at, more[0]]), np.concatenate([h, more[1]])
-                found = np.searchsorted(keys, h).clip(max=len(keys) - 1)
-                shared = keys[found] == h
-                at, found = at[shared], found[shared]
-                different = np.unique(found)
-                parts = length[different]
-                each = flat[np.repeat(start[different] - np.cumsum(parts) + parts, parts) + np.arange(parts.sum())]
-                enough = np.bincount(each, minlength=len(names)) >= HIT_COUNT * size
-                enough &= np.bincount(each, weights=np.repeat(worth[different], parts), minlength=len(names)) >= HIT_SHARE * total - 1e-9
-                if not enough.any():
-                    continue
-                present = set(w)
-                hits = list(zip(at.tolist(), found.tolist(), worth[found].tolist()))
-                for j in np.flatnonzero(enough).tolist():
-                    if holds(passages[j], w, [x for x in hits if x[1] in own[j]], total[j], share, present):
-                        rows.append((doc, names[j]))
+            rows = [(doc, i) for doc, text in zip(b["doc_id"], b["text"]) for i in passages.found(words(text))]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id"]).astype({"doc_id": "int64", "item_id": "int64"})
 
     return find
 
 
-def _prints(k: int, window: int, ident: str):
-    def fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = Numbers()
+def _counted(ident: str):
+    """The different words of each text, in the form in which they are compared."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for i, text in zip(b[ident], b["text"]):
-                at, h = winnow(number(words(text)), k, window)
-                rows += [(i, int(a), int(x)) for a, x in zip(at, h.view(np.int64))]
-            yield pd.DataFrame(rows, columns=[ident, "place", "h"])
+            rows = [(i, w, n) for i, text in zip(b[ident], b["text"]) for w, n in Counter(words(text)).items()]
+            yield pd.DataFrame(rows, columns=[ident, "word", "n"])
 
-    return fingerprints
+    return count
 
 
 def _verifier(share: float):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, item, text, passage, hits, total, w in zip(b["doc_id"], b["item_id"], b["text"], b["passage"], b["hits"], b["total"], b["weights"]):
-                p = words(passage)
-                known = dict(w) if w is not None else {}
-                if p and holds(Passage(p, {x: known.get(x, 1.0) for x in p}), words(text), [(h["place"], h["h"], h["worth"]) for h in hits], total, share):
+            for doc, item, text, passage, weights in zip(b["doc_id"], b["item_id"], b["text"], b["passage"], b["weights"]):
+                if Passages({item: words(passage)}, dict(weights), share).found(words(text)):
                     rows.append((doc, item))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id"]).astype({"doc_id": "int64", "item_id": "int64"})
 
     return verify
 
 
-def leaks(documents: DataFrame, items: DataFrame, k: int = 4, window: int = 3, share: float = 0.5, most_sent: int = 20_000_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, most_sent: int = 20_000_000) -> DataFrame:
     """doc_id, item_id of ``documents(doc_id, text)`` that hold passages of ``items(item_id, passage)``.
 
-    k, window: winnowing's parameters; every shared span of k + window - 1 words is found.  most_sent: passages of fewer
-    characters than this in all are sent to the tasks; others are joined by fingerprint.
+    share: part of a passage, by number and by weight, that a text must hold.  most_sent: passages of fewer characters
+    than this in all are sent to the tasks; others are joined by their rarer words.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("length(trim(text)) > 0")
     tests = items.select(F.col("item_id").cast("long").alias("item_id"), "passage").where("length(trim(passage)) > 0").distinct()
     size = tests.agg(F.sum(F.length("passage"))).first()[0] or 0
     if size > most_sent:
-        return _leaks_joined(docs, tests, k, window, share)
+        return _leaks_joined(docs, tests, share)
     texts: dict[int, list[str]] = {r["item_id"]: words(r["passage"]) for r in tests.collect()}
     texts = {i: p for i, p in texts.items() if p}
     tested = frozenset(w for p in texts.values() for w in p)
     counted = dict(docs.select("text").mapInPandas(_frequencies(tested), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect())
     n = counted.get(None, 0)
     weight = {w: max(math.log((n + 1) / (1 + counted.get(w, 0))), 1e-3) for w in tested}
-    return docs.mapInPandas(_finder(texts, weight, k, window, share), "doc_id long, item_id long").distinct()
+    return docs.mapInPandas(_finder(texts, weight, share), "doc_id long, item_id long").distinct()
 
 
-def _leaks_joined(docs: DataFrame, tests: DataFrame, k: int, window: int, share: float) -> DataFrame:
-    """The same for any number of passages: fingerprints are joined, then texts and passages to the pairs."""
-    named = tests.withColumnRenamed("passage", "text")
-    one = F.lit(1).cast("long")
-    split = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
-    tested = named.select("item_id", split.alias("word"))
+def _leaks_joined(docs: DataFrame, tests: DataFrame, share: float) -> DataFrame:
+    """The same for any number of passages: texts and passages are joined by the words without which a passage can't be held."""
+    tested = tests.withColumnRenamed("passage", "text").mapInPandas(_counted("item_id"), "item_id long, word string, n long")
+    held = docs.mapInPandas(_counted("doc_id"), "doc_id long, word string, n long").select("doc_id", "word")
     n = docs.count()
-    df = docs.select(split.alias("word")).join(tested.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum(one).alias("n"))
-    weights = tested.join(df, "word", "left").groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("word", F.greatest(F.log((n + 1.0) / (1 + F.coalesce("n", F.lit(0)))), F.lit(1e-3))))).alias("weights"))
-    a = docs.mapInPandas(_prints(k, window, "doc_id"), "doc_id long, place long, h long")
-    b = named.mapInPandas(_prints(k, window, "item_id"), "item_id long, place long, h long").select("item_id", "h").distinct()
-    b = b.join(b.groupBy("h").agg((1.0 / F.count("*")).alias("worth")), "h")
-    pairs = a.join(b, "h").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("place", "h", "worth")).alias("hits"))
-    size = b.groupBy("item_id").agg(F.sum("worth").alias("total"), F.count("*").alias("prints"))
-    full = pairs.join(size, "item_id").where(F.size(F.array_distinct(F.transform("hits", lambda x: x["h"]))) >= HIT_COUNT * F.col("prints")).join(docs, "doc_id").join(tests, "item_id").join(weights, "item_id", "left")
-    return full.mapInPandas(_verifier(share), "doc_id long, item_id long").distinct()
+    df = held.join(tested.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    weighed = tested.join(df, "word", "left").withColumn("weight", F.greatest(F.log((n + 1.0) / (1 + F.coalesce("df", F.lit(0)))), F.lit(1e-3)))
+    # the lightest words that together weigh less than the share are not enough without one of the others
+    lighter = Window.partitionBy("item_id").orderBy("weight", "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keys = weighed.withColumn("sum", F.sum(F.col("n") * F.col("weight")).over(lighter)).withColumn("all", F.sum(F.col("n") * F.col("weight")).over(Window.partitionBy("item_id")))
+    pairs = held.join(keys.where(F.col("sum") >= share * F.col("all") - 1e-6).select("item_id", "word"), "word").select("doc_id", "item_id").distinct()
+    weights = weighed.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("weights"))
+    return pairs.join(docs, "doc_id").join(tests, "item_id").join(weights, "item_id").mapInPandas(_verifier(share), "doc_id long, item_id long").distinct()

@@ -48,3 +48,26 @@ def test_leaks_both_ways(spark):
     assert {tuple(r) for r in leaks.leaks(d, i, most_sent=0).collect()} == want
     assert leaks.leaks(d.limit(0), i).count() == 0
     assert leaks.leaks(d, i.limit(0)).count() == 0
+
+
+def both(spark, docs, items):
+    d, i = spark.createDataFrame([(*x, None) for x in docs], DOC), spark.createDataFrame(items, ITEM)
+    sent = {tuple(r) for r in leaks.leaks(d, i).collect()}
+    assert sent == {tuple(r) for r in leaks.leaks(d, i, most_sent=0).collect()}
+    return sent
+
+
+def test_half_of_the_words_in_short_runs_is_a_leak(spark):
+    random.seed(6)
+    items, docs = [], [(1000 + i, " ".join(f"other{random.random()}" for _ in range(60))) for i in range(5)]
+    for j, (n, run) in enumerate((n, run) for n in (48, 96, 150) for run in (2, 5, 6)):
+        words = [f"p{j}w{i}" for i in range(n)]
+        runs = [words[i : i + run] for i in range(0, n, 2 * run)]
+        runs[-1] = runs[-1][: n // 2 - sum(map(len, runs[:-1]))] if sum(map(len, runs)) > n // 2 else runs[-1]
+        docs.append((j, " ".join(" ".join(r) + "".join(f" f{j}x{k}y{m}" for m in range(run)) for k, r in enumerate(runs))))
+        # every word of the passage is as rare as the others
+        docs.append((100 + j, " ".join(w for w in reversed(words) if w not in set(sum(runs, [])))))
+        items.append((j, " ".join(words)))
+    enough = {(j, j) for j, ((_, d), (_, p)) in enumerate(zip(docs[5::2], items)) if 2 * len(set(d.split()) & set(p.split())) >= len(p.split())}
+    assert len(enough) >= 8
+    assert both(spark, docs, items) == enough
