@@ -268,9 +268,8 @@ def paper_report(t):
 
 @query("""select i.item_id, p.doc_id from (select item_id, unnest(answer_phrases) as phrase from eval_items) i join documents p on contains(lower(p.text), lower(i.phrase)) where trim(phrase) <> '' group by all""")
 def phrase_relevance(t):
-    items = t.eval_items.limit(10_001)
-    phrases = items.select("item_id", F.explode("answer_phrases").alias("phrase")).where("trim(phrase) <> ''").select("item_id", F.lower("phrase").alias("phrase"))
-    rows = phrases.collect()
+    phrases = t.eval_items.select("item_id", F.explode("answer_phrases").alias("phrase")).where("trim(phrase) <> ''").select("item_id", F.lower("phrase").alias("phrase"))
+    rows = phrases.limit(10_001).collect()
     if len(rows) > 10_000:
         raise ValueError("more phrases than one pass over the texts checks")
     low = F.lower("text")

@@ -150,3 +150,14 @@ def test_traces_end_right():
         assert list(f(values))[-1][1] == sorted(values)
     assert list(traces.linear_search([4, 5], 5))[-1][2] == "found 1"
     assert list(traces.binary_search([1, 2], 9))[-1][2] == "absent"
+
+
+def test_phrases_of_items_after_many_without_any_are_found(spark):
+    from types import SimpleNamespace
+
+    from lectern.plans import registry
+
+    none = spark.range(10_050).select(F.col("id").alias("item_id"), F.lit(None).cast("array<string>").alias("answer_phrases")).coalesce(1)
+    one = spark.createDataFrame([(99_999, ["Red fox"])], "item_id long, answer_phrases array<string>")
+    t = SimpleNamespace(eval_items=none.unionByName(one), documents=spark.createDataFrame([(1, "a red fox")], "doc_id long, text string"))
+    assert [tuple(r) for r in registry.phrase_relevance(t).select("doc_id", "item_id").collect()] == [(1, 99_999)]
