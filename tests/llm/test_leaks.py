@@ -71,3 +71,9 @@ def test_half_of_the_words_in_short_runs_is_a_leak(spark):
     enough = {(j, j) for j, ((_, d), (_, p)) in enumerate(zip(docs[5::2], items)) if 2 * len(set(d.split()) & set(p.split())) >= len(p.split())}
     assert len(enough) >= 8
     assert both(spark, docs, items) == enough
+
+
+def test_both_ways_count_words_alike(spark):
+    items = [(1, "xylem phloem"), (2, "ＧＬＡＣＩＥＲ moraine ﬁord drumlin"), (3, "氷河は谷を削る")]
+    docs = [(1, "so xylem phloem it is"), (2, "the glacier moraine fiord drumlin"), (3, "昔、氷河は谷を削る。"), *((10 + i, f"plain text {i}") for i in range(6))]
+    assert both(spark, docs, items) == {(1, 1), (2, 2), (3, 3)}
