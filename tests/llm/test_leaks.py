@@ -77,3 +77,11 @@ def test_both_ways_count_words_alike(spark):
     items = [(1, "xylem phloem"), (2, "ＧＬＡＣＩＥＲ moraine ﬁord drumlin"), (3, "氷河は谷を削る")]
     docs = [(1, "so xylem phloem it is"), (2, "the glacier moraine fiord drumlin"), (3, "昔、氷河は谷を削る。"), *((10 + i, f"plain text {i}") for i in range(6))]
     assert both(spark, docs, items) == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_stretch_of_the_full_length_off_the_grid():
+    p = [f"w{i}" for i in range(40)]
+    passages = leaks.Passages({1: p}, dict.fromkeys(p, 1.0), 0.5)
+    for gap, want in ((100, [1]), (101, [])):
+        text = ["-"] * 3 + p[:19] + ["-"] * gap + [p[19]] + ["-"] * 50
+        assert passages.found(text) == want
