@@ -1,74 +1,59 @@
 """Evaluation texts leaking into training text (problem 7).
 
-Method: exact bounds.  A text is a candidate for every passage of which it has enough words in whatever order, at
-least half by number and at least half by weight, a word's weight being its rarity among all documents (else chance
-runs of common words count).  The same bound is then taken of each stretch at most three times as long as the passage;
-where it is reached, the words must stand there in order.  No pair is left out that holds half of the passage.
+Method: winnowing.  Of the hashes of every ``K`` words in a row the smallest of each ``WINDOW`` neighbours is kept, in texts and
+passages alike, so every shared span of ``K + WINDOW - 1`` words or more has a fingerprint on both sides.  A text is compared
+with a passage where, within a stretch at most three times as long as the passage, they share as many fingerprints as half of
+the passage must at least have when it stands there in such spans.  Each hit is then extended: the text around the
+fingerprints must hold half of the passage's words in their order, by number and by weight, a word's weight being its
+rarity among all documents (else chance runs of common words count).  Those bounds are exact; nothing else rejects a pair.
 
 Words are compared in one character form, without case and punctuation; characters of scripts without spaces are words.
+Passages are a query set: they are compared with all texts in blocks of ``block`` characters.
 
-Behaviour in corner cases: null and blank texts and passages leak nothing; repeated rows give a pair once; a passage
-may be as short as one word; a passage whose words are in every document weighs by number only; extra columns are ignored; empty tables give an empty result.
+Behaviour in corner cases: null and blank texts and passages leak nothing; repeated rows give a pair once; a passage too short
+for a guaranteed span is sought by every run of half its words, down to one word; a passage whose words are in every
+document weighs by number only; extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.lookalikes import fold
 
 _WORDS = re.compile(r"[฀-๿⺀-〿぀-ヿ㐀-鿿豈-﫿]|[^\W_฀-๿⺀-〿぀-ヿ㐀-鿿豈-﫿]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_PLAIN = re.compile("[a-z0-9]+")
 STRETCH = 3
-#: A word that more passages than this have is not counted when candidates are sought, but taken to be in the text.
-MOST_OWNERS = 1000
+K, WINDOW = 7, 2
 
 
 def words(text: str | None) -> list[str]:
     if not text:
         return []
-    return _WORDS.findall((text if text.isascii() else fold(text)).casefold())
-
-
-class Numbers:
-    """A number for each word, the same in every process."""
-
-    def __init__(self, most: int = 500_000) -> None:
-        self.known: dict[str, int] = {}
-        self.most = most
-
-    def __call__(self, tokens: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        out = []
-        for w in tokens:
-            n = known.get(w)
-            if n is None:
-                n = known[w] = zlib.crc32(w.encode()) << 32 | zlib.adler32(w.encode())
-            out.append(n)
-        return np.array(out, dtype=np.uint64)
+    return _PLAIN.findall(text.lower()) if text.isascii() else _WORDS.findall(fold(text).casefold())
 
 
 def winnow(numbers: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the fingerprints of a sequence of word numbers."""
-    if len(numbers) == 0:
+    if len(numbers) < k:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    k = min(k, len(numbers))
     with np.errstate(over="ignore"):
         h = np.zeros(len(numbers) - k + 1, dtype=np.uint64)
         for i in range(k):
-            h = (h ^ numbers[i : i + len(h)]) * _BASE
+            h = (h ^ numbers[i : i + len(h)].astype(np.uint64)) * _BASE
             h ^= h >> np.uint64(29)
+    if window == 1:
+        return np.arange(len(h)), h
     if len(h) <= window:
         at = np.array([len(h) - 1 - int(np.argmin(h[::-1]))])
         return at, h[at]
@@ -79,6 +64,11 @@ def winnow(numbers: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.nda
     return at, h[at]
 
 
+def least_prints(needed: float, k: int, window: int) -> int:
+    """How many fingerprints ``needed`` words have at least when they stand in spans of ``k + window - 1`` words or more."""
+    return max(1, math.ceil(needed / (k + 2 * window - 2)))
+
+
 def bits(a: list) -> dict:
     """The places of each member of a list as bits of one long number."""
     place: dict = {}
@@ -116,70 +106,130 @@ def heaviest(a: list, b: list, weight: dict) -> float:
 
 
 class Passages:
-    """The passages, their words numbered, with each word's weight and the passages that have it."""
-
-    def __init__(self, items: dict[int, list[str]], weight: dict[str, float], share: float) -> None:
-        self.names = sorted(items)
-        self.words = [items[i] for i in self.names]
-        self.number = {w: n for n, w in enumerate(sorted({w for p in self.words for w in p}))}
-        self.bags, self.rows, self.places = [], [], []
-        owners: list[list[tuple[int, int]]] = [[] for _ in self.number]
-        for j, p in enumerate(self.words):
-            bag = Counter(p)
-            first = Counter(p[: len(p) // 2])
-            self.bags.append(tuple(np.array(x, dtype=np.int64) for x in ([self.number[w] for w in bag], [first[w] for w in bag], [n - first[w] for w, n in bag.items()])))
-            self.rows.append([self.number[w] for w in p])
-            self.places.append(bits(self.rows[-1]))
-            for w, n in bag.items():
-                owners[self.number[w]].append((j, n))
+    """Different passages, their words numbered, with each word's weight and their fingerprints."""
+
+    def __init__(self, items: list[tuple[int, list[str]]], weight: dict[str, float], share: float = 0.5, k: int = K, window: int = WINDOW) -> None:
+        same: dict[tuple[str, ...], list[int]] = {}
+        for i, found in items:
+            same.setdefault(tuple(found), []).append(i)
+        self.names = list(same.values())
+        words_of = list(same)
+        self.number = {w: n for n, w in enumerate(sorted({w for p in words_of for w in p}))}
+        self.rows = [[self.number[w] for w in p] for p in words_of]
+        self.places = [bits(r) for r in self.rows]
         self.each = np.array([weight[w] for w in self.number] + [0.0])
-        self.least_n = np.array([share * len(p) for p in self.words])
-        self.least_w = np.array([share * sum(weight[w] for w in p) for p in self.words]) - 1e-9
-        # the owners of all words in one row; a word that very many have is taken to be in every text
-        self.length = np.array([len(o) if len(o) <= MOST_OWNERS else 0 for o in owners], dtype=np.int64)
-        self.start = np.cumsum(self.length) - self.length
-        self.flat = np.array([j for o in owners if len(o) <= MOST_OWNERS for j, _ in o], dtype=np.int64)
-        self.times = np.array([n for o in owners if len(o) <= MOST_OWNERS for _, n in o], dtype=np.int64)
-        self.given_n, self.given_w = np.zeros(len(self.names)), np.zeros(len(self.names))
-        for x, o in enumerate(owners):
-            for j, n in o if len(o) > MOST_OWNERS else ():
-                self.given_n[j] += n
-                self.given_w[j] += n * self.each[x]
+        self.least_n = [share * len(r) for r in self.rows]
+        self.least_w = [share * float(self.each[r].sum()) - 1e-9 for r in self.rows]
+        self.bags, self.worth = [], []
+        for r in self.rows:
+            bag, first = Counter(r), Counter(r[: len(r) // 2])
+            self.worth.append({w: n * float(self.each[w]) for w, n in bag.items()})
+            self.bags.append(tuple(np.array(x, dtype=np.int64) for x in ([*bag], [first[w] for w in bag], [n - first[w] for w, n in bag.items()])))
         self.cap = np.zeros(len(self.number) + 1, dtype=np.int64)
-
-    def found(self, text: list[str]) -> list[int]:
-        """Names of the passages that the text holds."""
+        # passages by how they are sought: the words of a fingerprint, the window, the least number to share
+        self.bar = np.ones(len(self.rows), dtype=np.int64)
+        sought: dict[tuple[int, int], list[int]] = {}
+        for j, r in enumerate(self.rows):
+            if len(r) < k + window - 1:
+                sought.setdefault((max(1, math.ceil(share * len(r))), 1), []).append(j)
+            else:
+                self.bar[j] = least_prints(self.least_n[j], k, window)
+                sought.setdefault((k, window), []).append(j)
+        self.prints = [(*how, *self._index(js, *how)) for how, js in sorted(sought.items())]
+
+    def _index(self, js: list[int], k: int, window: int) -> tuple[np.ndarray, ...]:
+        """Hashes in order, where each one's owners begin, the owners, and how often each has it."""
+        owners: dict[int, Counter] = {}
+        for j in js:
+            for h in winnow(np.array(self.rows[j]), k, window)[1].tolist():
+                owners.setdefault(h, Counter())[j] += 1
+        hashes = sorted(owners)
+        size = np.array([len(owners[h]) for h in hashes])
+        return (
+            np.array(hashes, dtype=np.uint64), np.cumsum(size) - size, size,
+            np.array([j for h in hashes for j in owners[h]]), np.array([n for h in hashes for n in owners[h].values()]),
+        )
+
+    def found(self, texts: list[list[str]]) -> list[list[int]]:
+        """For each text the names of the passages that it holds."""
         get, none = self.number.get, len(self.number)
-        numbers = np.array([get(w, none) for w in text], dtype=np.int64)
-        at = np.flatnonzero(numbers < none)
-        numbers = numbers[at]
-        return [self.names[j] for j in self._candidates(numbers) if self._holds(j, at, numbers)]
-
-    def _candidates(self, numbers: np.ndarray) -> list[int]:
-        """The passages of which the text has enough words, by number and by weight, in whatever order."""
-        x, n = np.unique(numbers, return_counts=True)
-        parts = self.length[x]
-        rows = np.repeat(self.start[x] - np.cumsum(parts) + parts, parts) + np.arange(parts.sum())
-        j, k = self.flat[rows], np.minimum(self.times[rows], np.repeat(n, parts))
-        most = len(self.names)
-        enough = self.given_n + np.bincount(j, weights=k, minlength=most) >= self.least_n
-        enough &= self.given_w + np.bincount(j, weights=k * np.repeat(self.each[x], parts), minlength=most) >= self.least_w
-        return np.flatnonzero(enough).tolist()
-
-    def _holds(self, j: int, at: np.ndarray, numbers: np.ndarray) -> bool:
-        """Whether some stretch of the text has enough of a passage in its order.
-
-        at, numbers: places and numbers of the text's words that some passage has.
-        """
+        numbers = [get(w, none) for t in texts for w in (*t, None)]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        held: list[list[int]] = [[] for _ in texts]
+        row = np.array(numbers, dtype=np.int64)
+        for d, j, stretches in self._candidates(row, ends):
+            if any(self._holds(j, numbers[a:b], row[a:b]) for a, b in stretches):
+                held[d] += self.names[j]
+        return held
+
+    def _candidates(self, row: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+        """Text, passage and the parts of the text in which they share enough fingerprints."""
+        for k, window, hashes, start, size, owner, times in self.prints:
+            at, h = winnow(row, k, window)
+            x = np.searchsorted(hashes, h)
+            x[x == len(hashes)] = 0
+            hit = hashes[x] == h
+            at, x = at[hit], x[hit]
+            parts = size[x]
+            each = np.repeat(start[x] - np.cumsum(parts) + parts, parts) + np.arange(parts.sum())
+            j, n, at, x = owner[each], times[each], np.repeat(at, parts), np.repeat(x, parts)
+            doc = np.searchsorted(ends, at, side="right")
+            key = doc * len(self.rows) + j
+            order = np.argsort(key, kind="stable")
+            key, at, n, x = key[order], at[order], n[order], x[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            if not len(first):
+                continue
+            last = np.append(first[1:], len(key))
+            enough = np.add.reduceat(n, first) >= self.bar[key[first] % len(self.rows)]
+            for a, b, i in zip(first[enough].tolist(), last[enough].tolist(), key[first[enough]].tolist()):
+                d, p = divmod(i, len(self.rows))
+                low, high = int(ends[d - 1]) if d else 0, int(ends[d]) - 1
+                if stretches := self._stretches(p, k, at[a:b].tolist(), n[a:b].tolist(), x[a:b].tolist(), low, high):
+                    yield d, p, stretches
+
+    def _stretches(self, j: int, k: int, at: list[int], n: list[int], x: list[int], low: int, high: int) -> list[tuple[int, int]]:
+        most, bar = STRETCH * len(self.rows[j]), int(self.bar[j])
+        out: list[tuple[int, int]] = []
+        there: dict[int, int] = {}
+        begin = shared = 0
+        for end, (place, times, h) in enumerate(zip(at, n, x)):
+            there[h] = there.get(h, 0) + 1
+            if there[h] == 1:
+                shared += times
+            while place + k - at[begin] > most:
+                there[x[begin]] -= 1
+                if not there[x[begin]]:
+                    shared -= n[begin]
+                begin += 1
+            if shared >= bar:
+                a, b = max(low, place + k - most), min(high, at[begin] + most)
+                if out and a <= out[-1][1]:
+                    out[-1] = (out[-1][0], max(b, out[-1][1]))
+                else:
+                    out.append((a, b))
+        return out
+
+    def _holds(self, j: int, text: list[int], row: np.ndarray) -> bool:
+        """Whether some stretch of a part of a text has enough of a passage in its order."""
+        p, place = self.rows[j], self.places[j]
+        part = [y for y in text if y in place]
+        # the weight of its words in whatever order, then their number in order
+        if len(part) < self.least_n[j] or sum(map(self.worth[j].__getitem__, set(part))) < self.least_w[j] or lcs(p, part, place) < self.least_n[j]:
+            return False
+        most = STRETCH * len(p)
+        if len(text) <= most:
+            return heaviest(p, part, self.each) >= self.least_w[j]
         xs, first, second = self.bags[j]
         self.cap[xs] = first + second
-        at, numbers = (x[self.cap[numbers] > 0] for x in (at, numbers))
+        at = np.flatnonzero(self.cap[row])
+        numbers = row[at]
         cap = self.cap[numbers]
         self.cap[xs] = first
         early = self.cap[numbers]
         late = cap - early
         self.cap[xs] = 0
-        p, most, weight = self.rows[j], STRETCH * len(self.rows[j]), self.each[numbers]
+        weight = self.each[numbers]
         ends = np.searchsorted(at, at + most)
 
         def enough(a: int, b: int) -> bool:
@@ -188,10 +238,8 @@ class Passages:
             if n < self.least_n[j] or w < self.least_w[j]:
                 return False
             part = numbers[some].tolist()
-            return lcs(p, part, self.places[j]) >= self.least_n[j] and heaviest(p, part, self.each) >= self.least_w[j]
+            return lcs(p, part, place) >= self.least_n[j] and heaviest(p, part, self.each) >= self.least_w[j]
 
-        if ends[0] == len(at):
-            return enough(0, 0)
         n, w = windows(at, numbers, cap, weight, most)
         # a stretch that ends with the one before it holds nothing more
         starts = np.flatnonzero((n >= self.least_n[j]) & (w >= self.least_w[j]) & (np.diff(ends, prepend=0) > 0))
@@ -245,81 +293,83 @@ def halves(numbers: np.ndarray, early: np.ndarray, late: np.ndarray, weight: np.
     return out[0], out[1] + 1e-9
 
 
-def _frequencies(tested: frozenset[str]):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter = Counter()
-        for b in batches:
-            for text in b["text"]:
-                n.update(tested.intersection(words(text)))
-            n[None] += len(b)
-        yield pd.DataFrame([(w, c) for w, c in n.items()], columns=["word", "n"])
+#: Words that are looked through at once.
+CHUNK = 50_000
+#: The index of the block that a Python worker has in hand.
+_INDEX: dict[str, Passages] = {}
 
-    return count
 
+def _distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame([(w,) for text in b["text"] for w in set(words(text))], columns=["word"])
 
-def _finder(items: dict[int, list[str]], weight: dict[str, float], share: float):
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        passages = Passages(items, weight, share)
-        for b in batches:
-            rows = [(doc, i) for doc, text in zip(b["doc_id"], b["text"]) for i in passages.found(words(text))]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id"]).astype({"doc_id": "int64", "item_id": "int64"})
 
-    return find
+def frequencies(docs: DataFrame, tested: DataFrame) -> DataFrame:
+    """word, n: in how many texts of ``docs(text)`` each word of ``tested(word)`` stands."""
+    plain = F.octet_length("text") == F.length("text")
+    # words() on texts of plain letters, without leaving the JVM
+    ascii_words = docs.where(plain).select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("word"))
+    others = docs.where(~plain).select("text").mapInPandas(_distinct_words, "word string")
+    return ascii_words.unionByName(others).join(tested, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
 
 
-def _counted(ident: str):
-    """The different words of each text, in the form in which they are compared."""
+def _finder(sent, share: float, k: int, window: int):
+    name = uuid.uuid4().hex
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        passages = _INDEX.get(name)
+        if passages is None:
+            _INDEX.clear()
+            passages = _INDEX[name] = Passages(*sent.value, share, k, window)
         for b in batches:
-            rows = [(i, w, n) for i, text in zip(b[ident], b["text"]) for w, n in Counter(words(text)).items()]
-            yield pd.DataFrame(rows, columns=[ident, "word", "n"])
-
-    return count
+            rows, ids, texts, size = [], [], [], 0
+            for doc, text in zip(b["doc_id"], b["text"]):
+                ids.append(doc)
+                texts.append(words(text))
+                size += len(texts[-1])
+                if size > CHUNK:
+                    rows += [(d, i) for d, names in zip(ids, passages.found(texts)) for i in names]
+                    ids, texts, size = [], [], 0
+            if ids:
+                rows += [(d, i) for d, names in zip(ids, passages.found(texts)) for i in names]
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id"]).astype({"doc_id": "int64", "item_id": "int64"})
 
+    return find
 
-def _verifier(share: float):
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc, item, text, passage, weights in zip(b["doc_id"], b["item_id"], b["text"], b["passage"], b["weights"]):
-                if Passages({item: words(passage)}, dict(weights), share).found(words(text)):
-                    rows.append((doc, item))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id"]).astype({"doc_id": "int64", "item_id": "int64"})
 
-    return verify
+def _blocks(tests: DataFrame, block: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """The words of the passages, so many at once as have ``block`` characters."""
+    some, size = [], 0
+    for r in tests.toLocalIterator():
+        if found := words(r["passage"]):
+            some.append((r["item_id"], found))
+            size += len(r["passage"])
+        if size > block:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
-def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, most_sent: int = 20_000_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, block: int = 5_000_000, k: int = K, window: int = WINDOW) -> DataFrame:
     """doc_id, item_id of ``documents(doc_id, text)`` that hold passages of ``items(item_id, passage)``.
 
-    share: part of a passage, by number and by weight, that a text must hold.  most_sent: passages of fewer characters
-    than this in all are sent to the tasks; others are joined by their rarer words.
+    share: part of a passage, by number and by weight, that a text must hold.  block: how many characters of passages are
+    broadcast at once; every block is compared with all texts.  k, window: of the winnowing; every leak is found whose half
+    stands in spans of ``k + window - 1`` words or more, so with 1 and 1 every leak.
     """
+    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("length(trim(text)) > 0")
     tests = items.select(F.col("item_id").cast("long").alias("item_id"), "passage").where("length(trim(passage)) > 0").distinct()
-    size = tests.agg(F.sum(F.length("passage"))).first()[0] or 0
-    if size > most_sent:
-        return _leaks_joined(docs, tests, share)
-    texts: dict[int, list[str]] = {r["item_id"]: words(r["passage"]) for r in tests.collect()}
-    texts = {i: p for i, p in texts.items() if p}
-    tested = frozenset(w for p in texts.values() for w in p)
-    counted = dict(docs.select("text").mapInPandas(_frequencies(tested), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect())
-    n = counted.get(None, 0)
-    weight = {w: max(math.log((n + 1) / (1 + counted.get(w, 0))), 1e-3) for w in tested}
-    return docs.mapInPandas(_finder(texts, weight, share), "doc_id long, item_id long").distinct()
-
-
-def _leaks_joined(docs: DataFrame, tests: DataFrame, share: float) -> DataFrame:
-    """The same for any number of passages: texts and passages are joined by the words without which a passage can't be held."""
-    tested = tests.withColumnRenamed("passage", "text").mapInPandas(_counted("item_id"), "item_id long, word string, n long")
-    held = docs.mapInPandas(_counted("doc_id"), "doc_id long, word string, n long").select("doc_id", "word")
+    found = [spark.createDataFrame([], "doc_id long, item_id long")]
     n = docs.count()
-    df = held.join(tested.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
-    weighed = tested.join(df, "word", "left").withColumn("weight", F.greatest(F.log((n + 1.0) / (1 + F.coalesce("df", F.lit(0)))), F.lit(1e-3)))
-    # the lightest words that together weigh less than the share are not enough without one of the others
-    lighter = Window.partitionBy("item_id").orderBy("weight", "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    keys = weighed.withColumn("sum", F.sum(F.col("n") * F.col("weight")).over(lighter)).withColumn("all", F.sum(F.col("n") * F.col("weight")).over(Window.partitionBy("item_id")))
-    pairs = held.join(keys.where(F.col("sum") >= share * F.col("all") - 1e-6).select("item_id", "word"), "word").select("doc_id", "item_id").distinct()
-    weights = weighed.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("weights"))
-    return pairs.join(docs, "doc_id").join(tests, "item_id").join(weights, "item_id").mapInPandas(_verifier(share), "doc_id long, item_id long").distinct()
+    for some in _blocks(tests, block):
+        tested = {w for _, p in some for w in p}
+        counted = dict(frequencies(docs, F.broadcast(spark.createDataFrame([(w,) for w in sorted(tested)], "word string"))).collect())
+        weight = {w: max(math.log((n + 1) / (1 + counted.get(w, 0))), 1e-3) for w in tested}
+        sent = spark.sparkContext.broadcast((some, weight))
+        found.append(docs.mapInPandas(_finder(sent, share, k, window), "doc_id long, item_id long"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()

@@ -210,13 +210,19 @@ def _main_script(text: str) -> str | None:
     return best if n[best] else None
 
 
-def _whole(text: str, words: list[re.Match]) -> list[tuple[re.Match, str]]:
+_LETTERS = {"LATIN": "A-Za-zÀ-ɏ", "GREEK": "Ͱ-Ͽἀ-῿", "CYRILLIC": "Ѐ-ԯ"}
+#: Where letters of two scripts meet in a word.
+_MEET = re.compile("|".join(f"[{a}][̀-ͯ]*[{b}]" for s, a in _LETTERS.items() for t, b in _LETTERS.items() if s != t))
+_ALL_SHARED = re.compile(rf"(?<![^\W\d_])(?<![̀-ͯ])[{''.join(SHARED)}{''.join(SHARED.values())}]+(?![^\W\d_]|[̀-ͯ])")
+
+
+def _whole(text: str) -> list[tuple[re.Match, str]]:
     """Words made only of shared letters of a script that is not the text's, with their form in the text's script."""
     main = _main_script(text)
     out = []
-    for m in words:
+    for m in _ALL_SHARED.finditer(text):
         w = m.group()
-        s = {script(c) for c in w if script(c) in _TRIPLE}
+        s = {script(c) for c in w}
         if len(s) == 1 and main not in s and all((c, main) in _TO for c in w) and (len(w) > 1 or "CYRILLIC" in s):
             out.append((m, _turn(w, main)))
     return out
@@ -245,20 +251,22 @@ def unify(text: str, whole: frozenset[str] | None = frozenset(), counts: tuple[t
         out.append(text[at:])
         # what was apart may meet now; marks of other languages stay as they were
         text = unicodedata.normalize("NFC", "".join(out)) if kinds & {"form", "invisible", "composition"} else "".join(out)
-    if _CYRGRK.search(text) and _LATIN.search(text) or whole is None and _CYRGRK.search(text):
-        words = list(_WORD.finditer(text))
-        out, at = [], 0
-        turned = {m.start(): t for m, t in _whole(text, words) if whole is None or m.group() in whole}
-        for m in words:
-            to = turned.get(m.start())
-            if to is None and not m.group().isascii():
-                s, mixed = _word_script(m.group())
-                to = _turn(m.group(), s) if mixed else None
-            if to is not None and to != m.group():
-                out += [text[at : m.start()], to]
-                at = m.end()
-                kinds.add("lookalike")
-        if at:
+    if _CYRGRK.search(text) and (whole is None or _LATIN.search(text)):
+        turned = [(m.start(), m.end(), t) for m, t in (_whole(text) if whole is None or whole else ()) if whole is None or m.group() in whole]
+        if _MEET.search(text):
+            at = {a for a, _, _ in turned}
+            for m in _WORD.finditer(text):
+                if m.start() not in at and not m.group().isascii():
+                    s, mixed = _word_script(m.group())
+                    if mixed and (to := _turn(m.group(), s)) != m.group():
+                        turned.append((m.start(), m.end(), to))
+            turned.sort()
+        if turned:
+            kinds.add("lookalike")
+            out, at = [], 0
+            for a, b, to in turned:
+                out += [text[at:a], to]
+                at = b
             text = "".join(out) + text[at:]
     return text, kinds
 
@@ -285,11 +293,10 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             used.update(c for c in plain if c in _tools()[1])
             rows += [(f, i, k, None, None, 1) for k in sorted(kinds)]
             if _CYRGRK.search(plain):
-                words = list(_WORD.finditer(plain))
-                whole = {(m.group(), t) for m, t in _whole(plain, words)}
+                whole = {(m.group(), t) for m, t in _whole(plain)}
                 rows += [(f, i, "whole", w, t, 1) for w, t in sorted(whole)]
                 strange = {w for w, _ in whole}
-                seen.update(m.group() for m in words if m.group() not in strange and all(any((c, t) in _TO for t in _TRIPLE) for c in m.group()) and not m.group().isascii())
+                seen.update(w for w in _ALL_SHARED.findall(plain) if w not in strange and not w.isascii())
         if len(seen) > 200_000:
             rows += [(None, None, "count", w, None, n) for w, n in seen.items()]
             seen.clear()

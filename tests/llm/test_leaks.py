@@ -10,12 +10,12 @@ ITEM = "item_id long, passage string"
 
 def test_winnowing_finds_every_long_span():
     random.seed(3)
-    number = leaks.Numbers()
     for _ in range(200):
-        span = [f"s{random.random()}" for _ in range(6)]
+        span = [f"s{random.random()}" for _ in range(leaks.K + leaks.WINDOW - 1)]
         a = [f"a{i}" for i in range(random.randint(0, 9))] + span + ["x", "y"]
         b = [f"b{i}" for i in range(random.randint(0, 9))] + span + ["z"]
-        prints = [set(leaks.winnow(number(t), 4, 3)[1].tolist()) for t in (a, b)]
+        number = {w: i for i, w in enumerate(sorted({*a, *b}))}
+        prints = [set(leaks.winnow(np.array([number[w] for w in t]), leaks.K, leaks.WINDOW)[1].tolist()) for t in (a, b)]
         assert prints[0] & prints[1]
 
 
@@ -45,43 +45,63 @@ def test_leaks_both_ways(spark):
     d, i = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)
     want = {(50, 1), (51, 1)}
     assert {tuple(r) for r in leaks.leaks(d, i).collect()} == want
-    assert {tuple(r) for r in leaks.leaks(d, i, most_sent=0).collect()} == want
+    assert {tuple(r) for r in leaks.leaks(d, i, block=1).collect()} == want
+    assert {tuple(r) for r in leaks.leaks(d, i, k=1, window=1).collect()} == want
     assert leaks.leaks(d.limit(0), i).count() == 0
     assert leaks.leaks(d, i.limit(0)).count() == 0
 
 
-def both(spark, docs, items):
+def found(spark, docs, items, **how):
     d, i = spark.createDataFrame([(*x, None) for x in docs], DOC), spark.createDataFrame(items, ITEM)
-    sent = {tuple(r) for r in leaks.leaks(d, i).collect()}
-    assert sent == {tuple(r) for r in leaks.leaks(d, i, most_sent=0).collect()}
-    return sent
+    return {tuple(r) for r in leaks.leaks(d, i, **how).collect()}
 
 
-def test_half_of_the_words_in_short_runs_is_a_leak(spark):
+def halves_in_runs(runs):
+    """Texts that hold half of a passage in runs of some length, and texts that hold the other half backwards."""
     random.seed(6)
     items, docs = [], [(1000 + i, " ".join(f"other{random.random()}" for _ in range(60))) for i in range(5)]
-    for j, (n, run) in enumerate((n, run) for n in (48, 96, 150) for run in (2, 5, 6)):
+    for j, (n, run) in enumerate((n, run) for n in (48, 96, 160) for run in runs):
         words = [f"p{j}w{i}" for i in range(n)]
-        runs = [words[i : i + run] for i in range(0, n, 2 * run)]
-        runs[-1] = runs[-1][: n // 2 - sum(map(len, runs[:-1]))] if sum(map(len, runs)) > n // 2 else runs[-1]
-        docs.append((j, " ".join(" ".join(r) + "".join(f" f{j}x{k}y{m}" for m in range(run)) for k, r in enumerate(runs))))
+        parts = [words[i : i + run] for i in range(0, n, 2 * run)]
+        docs.append((j, " ".join(" ".join(r) + "".join(f" f{j}x{k}y{m}" for m in range(run)) for k, r in enumerate(parts))))
         # every word of the passage is as rare as the others
-        docs.append((100 + j, " ".join(w for w in reversed(words) if w not in set(sum(runs, [])))))
+        docs.append((100 + j, " ".join(w for w in reversed(words) if w not in set(sum(parts, [])))))
         items.append((j, " ".join(words)))
-    enough = {(j, j) for j, ((_, d), (_, p)) in enumerate(zip(docs[5::2], items)) if 2 * len(set(d.split()) & set(p.split())) >= len(p.split())}
-    assert len(enough) >= 8
-    assert both(spark, docs, items) == enough
+    return docs, items, {(j, j) for j in range(3 * len(runs))}
+
+
+def test_half_of_the_words_in_short_runs_is_a_leak(spark):
+    docs, items, want = halves_in_runs((2, 3, 4, 6))
+    assert found(spark, docs, items, k=1, window=1) == want
+
 
+def test_half_of_the_words_in_spans_of_the_guaranteed_length_is_a_leak(spark):
+    docs, items, want = halves_in_runs((8, 12, 24))
+    assert found(spark, docs, items) == found(spark, docs, items, k=1, window=1) == want
 
-def test_both_ways_count_words_alike(spark):
+
+def test_words_are_compared_in_one_form(spark):
     items = [(1, "xylem phloem"), (2, "ＧＬＡＣＩＥＲ moraine ﬁord drumlin"), (3, "氷河は谷を削る")]
     docs = [(1, "so xylem phloem it is"), (2, "the glacier moraine fiord drumlin"), (3, "昔、氷河は谷を削る。"), *((10 + i, f"plain text {i}") for i in range(6))]
-    assert both(spark, docs, items) == {(1, 1), (2, 2), (3, 3)}
+    assert found(spark, docs, items) == found(spark, docs, items, block=1) == {(1, 1), (2, 2), (3, 3)}
 
 
 def test_stretch_of_the_full_length_off_the_grid():
     p = [f"w{i}" for i in range(40)]
-    passages = leaks.Passages({1: p}, dict.fromkeys(p, 1.0), 0.5)
+    passages = leaks.Passages([(1, p)], dict.fromkeys(p, 1.0), k=1, window=1)
     for gap, want in ((100, [1]), (101, [])):
         text = ["-"] * 3 + p[:19] + ["-"] * gap + [p[19]] + ["-"] * 50
-        assert passages.found(text) == want
+        assert passages.found([text]) == [want]
+
+
+def test_many_passages_and_short_ones(spark):
+    items = [(i, f"the {i}th stone of the {i}th wall is marked with sign {i} on its upper {i}th side") for i in range(400)] + [(900, "quasar"), (901, "red quasar halo")]
+    docs = [(i, f"intro {i} " + items[i][1] + " end") for i in range(0, 400, 7)] + [(5000, "a quasar here"), (5001, "the red quasar halo there")]
+    want = {(i, i) for i in range(0, 400, 7)} | {(5000, 900), (5001, 900), (5001, 901)}
+    assert found(spark, docs, items) == found(spark, docs, items, block=3000) >= want
+
+
+def test_one_item_with_two_passages_and_copies(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    docs = [(1, "x " + a), (2, b + " y"), (3, "nothing of it"), (1, "x " + a)]
+    assert found(spark, docs, [(7, a), (7, b), (8, a)]) == {(1, 7), (1, 8), (2, 7)}
