@@ -2,10 +2,12 @@
 
 Method: look-alike classes are the transitive closure (union-find) of pairs of strings and code points that look the
 same: compatibility forms, letters stored apart from their marks, blanks, characters without width, and letters
-that two scripts share.  The representative of a class, per script, is the member the corpus uses most.  A text is
-rewritten greedily, longest match first, with an Aho-Corasick automaton over all members.  For letters that
-scripts share, the word decides: a word takes the script of its letters that no other script has; a word made only
-of shared letters is rewritten when the text around it is of another script and the corpus knows the word there.
+that two scripts share.  A class of characters has one ordinary form in each script, which represents it.  Strings of
+shared letters form classes, too (``cases`` in Latin and in Cyrillic letters): the one that the corpus uses most
+represents them.  A text is rewritten greedily, longest match first, with an Aho-Corasick automaton over all members.
+For letters that scripts share, the word decides: a word takes the script of its letters that no other script has; a
+word made only of shared letters is rewritten when the text around it is of another script and its other form is the
+representative.
 
 Kept as they are: a language's punctuation, dashes, curly quotes, superscripts, symbols, foreign words.
 
@@ -132,23 +134,22 @@ def class_of() -> tuple[dict[str, list[str]], dict[str, str]]:
     return members, kind
 
 
-def representatives(counts: dict[str, int]) -> dict[tuple[str, str], str]:
-    """(member, script) -> the most used member of its class in that script that is an ordinary form."""
+def representatives() -> dict[tuple[str, str], str]:
+    """(member, script) -> the ordinary form of its class in that script; by the kinds there is one at most, so counts decide nothing here."""
     members, kind = class_of()
     best: dict[tuple[str, str], str] = {}
     for m, group in members.items():
-        for s in {script(x[0]) for x in group if x}:
-            ordinary = [x for x in group if x not in kind and x and script(x[0]) == s]
-            if ordinary:
-                best[m, s] = min(ordinary, key=lambda x: (-counts.get(x, 0), len(x), x))
+        for x in sorted(group, key=lambda x: (-len(x), x), reverse=True):
+            if x and x not in kind:
+                best.setdefault((m, script(x[0])), x)
     return best
 
 
-@lru_cache(2)
-def _tools(counts: tuple[tuple[str, int], ...] = ()):
-    """The automaton over all members, each with its representative by ``counts``, and the characters of which any member has one."""
+@lru_cache(1)
+def _tools():
+    """The automaton over all members, each with its representative, and the characters of which any member has one."""
     members, kind = class_of()
-    best = representatives(dict(counts))
+    best = representatives()
     auto = ahocorasick.Automaton()
     for m in kind:
         plain = [x for x in members[m] if x not in kind]
@@ -228,16 +229,15 @@ def _whole(text: str) -> list[tuple[re.Match, str]]:
     return out
 
 
-def unify(text: str, whole: frozenset[str] | None = frozenset(), counts: tuple[tuple[str, int], ...] = ()) -> tuple[str, set[str]]:
+def unify(text: str, whole: frozenset[str] | None = frozenset()) -> tuple[str, set[str]]:
     """The text in its one form, and the kinds of variation it had.
 
     whole: words of shared letters that may be turned (None: all that the text around them suggests).
-    counts: the corpus counts of class members, which choose the representatives.
     """
     if text.isascii() and "\t" not in text and "\r" not in text and "\v" not in text and "\f" not in text:
         return text, set()
     kinds: set[str] = set()
-    auto, odd = _tools(counts)
+    auto, odd = _tools()
     if not odd.isdisjoint(text):
         out: list[str] = []
         at = 0
@@ -279,7 +279,6 @@ def fold(text: str) -> str:
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Variants of each record, its words of shared letters, and how often the corpus has such words (per task)."""
     seen: Counter = Counter()
-    used: Counter = Counter()
     columns = ["field_name", "record_id", "kind", "word", "turned", "n"]
     for b in batches:
         rows = []
@@ -290,7 +289,6 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if text.isascii() and "\t" not in text and "\r" not in text and "\v" not in text and "\f" not in text:
                 continue
             plain, kinds = unify(text)
-            used.update(c for c in plain if c in _tools()[1])
             rows += [(f, i, k, None, None, 1) for k in sorted(kinds)]
             if _CYRGRK.search(plain):
                 whole = {(m.group(), t) for m, t in _whole(plain)}
@@ -302,7 +300,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen.clear()
         if rows:
             yield pd.DataFrame(rows, columns=columns)
-    yield pd.DataFrame([(None, None, "count", w, None, n) for w, n in seen.items()] + [(None, None, "member", c, None, n) for c, n in used.items()], columns=columns)
+    yield pd.DataFrame([(None, None, "count", w, None, n) for w, n in seen.items()], columns=columns)
 
 
 SCAN = "field_name string, record_id string, kind string, word string, turned string, n long"
@@ -313,7 +311,7 @@ def _records(records: DataFrame) -> DataFrame:
 
 
 def _accepted(scan: DataFrame) -> DataFrame:
-    """field_name, record_id, word of the words of shared letters that the corpus knows in the other script."""
+    """field_name, record_id, word of the words of shared letters that the corpus uses more in the other script: that form represents their class."""
     known = scan.where("kind = 'count'").groupBy("word").agg(F.sum("n").alias("n"))
     return (
         scan.where("kind = 'whole'")
@@ -332,21 +330,16 @@ def variants(records: DataFrame) -> DataFrame:
     return plain.unionByName(_accepted(scan).select("field_name", "record_id", F.lit("lookalike").alias("variant_kind"))).distinct()
 
 
-def _rewriter(counts: tuple[tuple[str, int], ...]):
-    def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(f, i, unify(t, frozenset(w), counts)[0]) for f, i, texts, w in zip(b["field_name"], b["record_id"], b["texts"], b["words"]) for t in texts]
-            yield pd.DataFrame(rows, columns=["field_name", "record_id", "text"])
-
-    return rewrite
+def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(f, i, unify(t, frozenset(w))[0]) for f, i, texts, w in zip(b["field_name"], b["record_id"], b["texts"], b["words"]) for t in texts]
+        yield pd.DataFrame(rows, columns=["field_name", "record_id", "text"])
 
 
 def unified(records: DataFrame) -> DataFrame:
     """Every record with its text in the one form: field_name, record_id, text."""
     records = _records(records)
     scan = records.mapInPandas(_scan, SCAN).persist(StorageLevel.MEMORY_AND_DISK)
-    # at most one row per member of a class, a few thousand
-    counts = tuple(sorted((r["word"], r["n"]) for r in scan.where("kind = 'member'").groupBy("word").agg(F.sum("n").alias("n")).collect()))
     null = F.lit(None).cast("string")
     rows = records.withColumn("word", null).unionByName(_accepted(scan).withColumn("text", null))
-    return rows.groupBy("field_name", "record_id").agg(F.collect_set("text").alias("texts"), F.collect_set("word").alias("words")).mapInPandas(_rewriter(counts), "field_name string, record_id string, text string").distinct()
+    return rows.groupBy("field_name", "record_id").agg(F.collect_set("text").alias("texts"), F.collect_set("word").alias("words")).mapInPandas(_rewrite, "field_name string, record_id string, text string").distinct()

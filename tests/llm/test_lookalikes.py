@@ -37,3 +37,18 @@ def test_whole_words_need_the_corpus(spark):
 
 def test_long_text():
     assert L.unify("é" * 100_000) == ("é" * 100_000, set())
+
+
+def test_the_corpus_chooses_among_strings_that_look_the_same(spark):
+    other = "сор"
+    text = f"the {other} is here"
+    for known, want in (("cop cop cop", "the cop is here"), (f"{other} {other} {other} поток", text)):
+        df = spark.createDataFrame([("f", "1", text, None), ("f", "2", known, None)], SCHEMA)
+        assert {r["record_id"]: r["text"] for r in L.unified(df).collect()}["1"] == want
+
+
+def test_a_class_has_one_ordinary_form_in_each_script():
+    members, kind = L.class_of()
+    for m, group in members.items():
+        plain = [L.script(x[0]) for x in group if x and x not in kind]
+        assert len(plain) == len(set(plain))
