@@ -134,9 +134,10 @@ def pack(counts: DataFrame, containers: DataFrame, group_tokens: int = 16_000_00
     groups = max(1, -(-total // group_tokens), -(-number // group_rows))
     items = counts.withColumn("k", F.explode(kinds)).select("k.*", "doc_id", "tokens")
     starts = F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.col("capacity"))
-    items = items.select("container_name", "capacity", "doc_id", "tokens", F.posexplode(starts).alias("piece_no", "start_token"))
-    items = items.withColumn("tokens", F.least("capacity", F.col("tokens") - F.col("start_token"))).withColumn("piece_no", F.col("piece_no").cast("long"))
-    full = items.where("tokens = capacity").withColumn("container_id", F.concat_ws("-", F.lit("whole"), "doc_id", "piece_no"))
+    items = items.select("container_name", "capacity", "doc_id", F.col("tokens").alias("size"), F.posexplode(starts).alias("piece_no", "start_token"))
+    items = items.withColumn("tokens", F.least("capacity", F.col("size") - F.col("start_token"))).withColumn("piece_no", F.col("piece_no").cast("long"))
+    # two texts of one id differ in size
+    full = items.where("tokens = capacity").withColumn("container_id", F.concat_ws("-", F.lit("whole"), "doc_id", "size", "piece_no"))
     rest = items.where("tokens < capacity").withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
     result = ["container_name", "container_id", "doc_id", "piece_no", "start_token", "tokens"]
     first = rest.groupBy("container_name", "grp").applyInPandas(_pack, PACKED)
@@ -158,6 +159,6 @@ def pack(counts: DataFrame, containers: DataFrame, group_tokens: int = 16_000_00
 def summary(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """container_name, containers, tokens, fill: how full the containers are."""
     by = packed.groupBy("container_name").agg(F.count_distinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"))
-    return by.join(F.broadcast(containers.select("container_name", "capacity_tokens").distinct().limit(MOST_CONTAINERS)), "container_name").select(
+    return by.join(containers.select("container_name", "capacity_tokens").distinct(), "container_name").select(
         "container_name", "containers", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill")
     )

@@ -310,14 +310,20 @@ def noise(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
     return evidence(blocks, chunks)[0].select("table_name", "record_id", "line_no", "noise_kind").distinct()
 
 
-def repair_text(text: str, marks: list) -> str:
-    """``text`` as continuous paragraphs, given its noise as (line_no, noise_kind, a, b, right)."""
+def repair_text(text: str, marks: list, running: bool = True) -> str:
+    """``text`` as continuous paragraphs, given its noise as (line_no, noise_kind, a, b, right).
+
+    Lines of a paragraph become one; list items keep lines of their own, and so do code, tables and formulas.  A text that
+    isn't running text stays as it is.
+    """
+    if not running and not marks:
+        return text
     gone = {m["line_no"] for m in marks if m["noise_kind"] in ("header", "page_number")}
     broken = {m["line_no"] for m in marks if m["noise_kind"] == "hyphenation"}
     wrong: dict[str, str] = {m["a"]: m["right"] for m in marks if m["noise_kind"] == "misread"}
-    if not marks:
+    if not marks and "\n" not in text:
         return text
-    lines = _plain(text).split("\n")
+    lines = (_plain(text) if marks else text).split("\n")
     out: list[str] = []
     for p in _paragraphs(lines):
         if _skipped(lines, p):
@@ -328,7 +334,7 @@ def repair_text(text: str, marks: list) -> str:
         for i in p:
             if i in gone:
                 continue
-            s += ("" if glue else " ") + lines[i].strip()
+            s += ("" if glue else "\n" if _ITEM.match(lines[i].lstrip()) else " ") + lines[i].strip()
             glue = False
             if i in broken and (m := _BROKEN.search(s)):
                 s, glue = s[: m.end(1)], True
@@ -351,7 +357,7 @@ def _recase(seen: str, right: str) -> str:
 
 def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(t, r, repair_text(x, list(m))) for t, r, texts, m in zip(b["table_name"], b["record_id"], b["texts"], b["marks"]) for x in texts]
+        rows = [(t, r, repair_text(x["text"], list(m), x["running"])) for t, r, texts, m in zip(b["table_name"], b["record_id"], b["texts"], b["marks"]) for x in texts]
         yield pd.DataFrame(rows, columns=["table_name", "record_id", "text"])
 
 
@@ -359,7 +365,8 @@ def repaired(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
     """Every text of both tables, repaired: table_name, record_id, text."""
     found, _ = evidence(blocks, chunks)
     mark = F.struct("line_no", "noise_kind", "a", "b", "right")
-    marks = found.select("table_name", "record_id", F.lit(None).cast("string").alias("text"), mark.alias("mark"))
-    texts = _inputs(blocks, chunks).where(F.col("text").isNotNull()).select("table_name", "record_id", "text", F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"))
+    marks = found.select("table_name", "record_id", F.lit(None).cast("struct<text:string,running:boolean>").alias("text"), mark.alias("mark"))
+    text = F.struct("text", (F.col("role") == "run").alias("running"))
+    texts = _inputs(blocks, chunks).where(F.col("text").isNotNull()).select("table_name", "record_id", text.alias("text"), F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"))
     both = texts.unionByName(marks).groupBy("table_name", "record_id").agg(F.collect_set("text").alias("texts"), F.collect_set("mark").alias("marks"))
     return both.mapInPandas(_repair, "table_name string, record_id string, text string").distinct()

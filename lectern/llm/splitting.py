@@ -65,6 +65,32 @@ def strengths(text: str, blocks: list[tuple[str, str]] | None = None) -> np.ndar
     return out
 
 
+_GAP = re.compile(r"\n[^\S\n]*\n\s*")
+HEAD = 40
+
+
+def paragraphs(text: str, parts: list[tuple[str, str, str]]) -> list[tuple[str, str]] | None:
+    """Type and section of each paragraph of a text, by the blocks (type, section, beginning) that it was put together from.
+
+    A block that has empty lines inside covers several paragraphs; one whose beginning isn't found covers none.
+    """
+    found: list[tuple[int, str, str]] = []
+    at = 0
+    for kind, section, head in parts:
+        i = text.find(head, at) if head else -1
+        if i >= 0:
+            found.append((i, kind, section))
+            at = i + 1
+    if not found:
+        return None
+    out, k = [], 0
+    for start in [0, *(m.end() for m in _GAP.finditer(text))]:
+        while k + 1 < len(found) and found[k + 1][0] <= start:
+            k += 1
+        out.append(found[k][1:])
+    return out
+
+
 class SparseTable:
     """Range-maximum queries over strengths; of equal ones the rightmost is found."""
 
@@ -120,9 +146,7 @@ def _splitter(limits: list[tuple[str, int, int]], whole: bool):
             for cid, text, parts in zip(b["chunk_id"], b["text"], b["parts"]):
                 if not text:
                     continue
-                blocks = None if parts is None else [(p["block_type"], p["section"]) for p in parts]
-                if blocks is not None and len(blocks) != len(re.findall(r"\n[^\S\n]*\n\s*", text)) + 1:
-                    blocks = None
+                blocks = None if parts is None else paragraphs(text, [(p["block_type"], p["section"], p["head"]) for p in parts])
                 size = len(text.encode("utf-8", "surrogatepass"))
                 for name, most, overlap in limits:
                     if size > 4 * most or whole:
@@ -150,14 +174,15 @@ def split_pieces(chunks: DataFrame, limits: DataFrame, links: DataFrame | None =
     if not whole and todo:
         texts = texts.where(F.octet_length("text") > 4 * min(m for _, m, _ in todo))
     if links is not None and blocks is not None:
-        part = F.struct(F.col("source_position").alias("position"), "block_type", "section")
-        info = blocks.where("length(text) > 0").select("block_id", "block_type", F.concat_ws(" > ", "section_path").alias("section"))
+        part = F.struct(F.col("source_position").alias("position"), "block_type", "section", "head")
+        head = F.substring(F.regexp_replace("text", r"^\s+", ""), 1, HEAD)
+        info = blocks.where("length(text) > 0").select("block_id", "block_type", F.concat_ws(" > ", "section_path").alias("section"), head.alias("head"))
         oversized = texts.select("chunk_id").distinct()
         used = links.where("link_type = 'source'").select(F.col("chunk_id").cast("string").alias("chunk_id"), "block_id", "source_position").join(oversized, "chunk_id", "left_semi")
         parts = used.join(info, "block_id").groupBy("chunk_id").agg(F.array_sort(F.collect_set(part)).alias("parts"))
         texts = texts.join(parts, "chunk_id", "left")
     else:
-        texts = texts.withColumn("parts", F.lit(None).cast("array<struct<position:int,block_type:string,section:string>>"))
+        texts = texts.withColumn("parts", F.lit(None).cast("array<struct<position:int,block_type:string,section:string,head:string>>"))
     return texts.distinct().mapInPandas(_splitter(todo, whole), PIECES)
 
 

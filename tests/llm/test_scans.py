@@ -23,7 +23,7 @@ def test_noise_of_each_kind(spark):
     }
     fixed = {r["record_id"]: r["text"] for r in scans.repaired(b, c).collect()}
     assert fixed["b30"] == "The well-known boundary changes and the boundary stays."
-    assert fixed["b32"] == "" and fixed["b0"] == BODY
+    assert fixed["b32"] == "" and fixed["b0"] == BODY.replace("\n", " ")
 
 
 def test_corrections_rank_by_frequency(spark):
@@ -34,3 +34,9 @@ def test_corrections_rank_by_frequency(spark):
 
 def test_empty_tables(spark):
     assert scans.noise(*tables(spark, [])).count() == 0
+
+
+def test_printed_lines_become_paragraphs():
+    assert scans.repair_text("The river\nruns down\nto the sea.\n\nIt ends.", []) == "The river runs down to the sea.\n\nIt ends."
+    assert scans.repair_text("These:\n- one\n- two", []) == "These:\n- one\n- two"
+    assert scans.repair_text("a = 1\nb = 2", [], running=False) == "a = 1\nb = 2"

@@ -92,3 +92,20 @@ def test_pack_keeps_every_token_and_the_capacity(spark):
 def test_token_counts(spark):
     docs = spark.createDataFrame([(1, "hello world"), (2, None), (3, "")], "doc_id long, text string")
     assert [tuple(r) for r in packing.token_counts(docs).collect()] == [(1, 2)]
+
+
+def test_a_block_with_empty_lines_inside_keeps_the_types_of_the_others():
+    text = "One.\n\nTwo.\n\nThree.\n\nFour."
+    assert splitting.paragraphs(text, [("paragraph", "A", "One."), ("table", "A", "Three."), ("paragraph", "B", "Four.")]) == [("paragraph", "A"), ("paragraph", "A"), ("table", "A"), ("paragraph", "B")]
+    assert splitting.paragraphs(text, [("paragraph", "A", "gone")]) is None
+
+
+def test_texts_of_one_id_and_many_kinds_of_container(spark):
+    counts = spark.createDataFrame([(1, 25), (1, 30), (2, 4)], "doc_id long, tokens long")
+    kinds = spark.createDataFrame([(f"k{i}", 10) for i in range(3)], "container_name string, capacity_tokens int")
+    packed = packing.pack(counts, kinds)
+    assert packed.groupBy("container_name", "container_id").sum("tokens").where("`sum(tokens)` > 10").count() == 0
+    assert packed.where("container_name = 'k0'").groupBy().sum("tokens").first()[0] == 59
+    many = spark.range(1500).selectExpr("concat('c', id) as container_name", "cast(10 as int) as capacity_tokens")
+    used = many.selectExpr("container_name", "concat('0-', container_name) as container_id", "cast(5 as bigint) as tokens")
+    assert packing.summary(used, many).count() == 1500
