@@ -40,15 +40,80 @@ def compact_equation(text: Column) -> Column:
     return F.translate(F.regexp_replace(text, r"[\s$]+", ""), "−–—", "---")
 
 
+#: What markdown is taken off, in this order, and what stays of it.
+MARKDOWN = (
+    (r"(?s)```.*?```", " "), (r"`([^`]+)`", "$1"), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"__([^_]+)__", "$1"), (r"_([^_]+)_", "$1"),
+    (r"(?md)^#+\s*", ""), (r"(?md)^\s*[-*+]\s+", ""),
+)
+#: Abbreviations whose period ends no sentence of a script, longer ones before those they contain.
+ABBREVIATIONS = ("Figs.", "Fig.", "Eqn.", "Eq.", "Sec.", "e.g.", "i.e.", "et al.", "vs.", "Dr.", "Mr.", "Mrs.", "Ms.", "Prof.", "cf.", "approx.")
+#: Topics that a request names by a word, in this order.
+TOPICS = (("photosynthesis", "Photosynthesis"), ("binary search", "Binary Search"), ("binary-search", "Binary Search"), ("sorting", "Sorting"))
+
+
 def strip_markdown(text: Column) -> Column:
-    for pattern, to in (
-        (r"(?s)```[a-zA-Z]*\n?(.*?)```", "$1"), (r"`([^`]*)`", "$1"), (r"\*\*(.*?)\*\*", "$1"), (r"\*(.*?)\*", "$1"),
-        (r"(?m)^#{1,6}\s*", ""), (r"(?m)^\s*[-*+]\s+", ""),
-    ):
+    for pattern, to in MARKDOWN:
         text = F.regexp_replace(text, pattern, to)
     return text
 
 
+def claim_sentences(text: Column) -> Column:
+    """Sentences of a script: no end after an abbreviation, nor before a small letter; one closing mark may follow the end mark."""
+    t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    for a in ABBREVIATIONS:
+        t = F.replace(t, F.lit(a), F.lit(a.replace(".", "\x00")))
+    parts = F.split(t, r"""(?U)(?:(?<=[.!?])|(?<=[.!?]["')\]]))\s+(?=["'(\[]?[^\sa-z"'(\[])""")
+    return F.filter(F.transform(parts, lambda x: F.regexp_replace(F.translate(x, "\x00", "."), r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+
+
+def background_sentences(text: Column) -> Column:
+    """Parts after end marks with closing marks and blanks; "e.g." and "i.e." end none."""
+    t = F.replace(F.replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), F.lit("e.g."), F.lit("e\x00g\x00")), F.lit("i.e."), F.lit("i\x00e\x00"))
+    return F.filter(F.transform(F.split(t, r"""(?U)(?<=[.!?])["')\]]*\s+"""), lambda x: F.translate(x, "\x00", ".")), lambda x: F.btrim(x) != "")
+
+
+def display_name(path: Column, fallback: str = "paper.pdf", most: int = 255) -> Column:
+    """The last part of a path, printable characters only, cut to ``most``."""
+    name = F.element_at(F.split(path, r"[/\\]"), -1)
+    name = F.substring(F.trim(F.regexp_replace(name, r"[\p{C}\p{Zl}\p{Zp}]", "")), 1, most)
+    return F.when(F.coalesce(name, F.lit("")) == "", F.lit(fallback)).otherwise(name)
+
+
+def question_input(query: Column) -> Column:
+    """What is embedded for a question; null for a blank one."""
+    return F.when(F.trim(query) != "", F.concat(F.lit("task: question answering | query: "), F.trim(query)))
+
+
+def term_variants(term: Column) -> Column:
+    """A term in small letters, with an s, and without the s at its end."""
+    t = F.lower(F.trim(term))
+    return F.array_distinct(F.array(t, F.concat(t, F.lit("s")), F.regexp_replace(t, "s$", "")))
+
+
+def mentions(text: Column, term: Column) -> Column:
+    """Whether a text has a term in one of its variants."""
+    low = F.lower(text)
+    return F.exists(term_variants(term), lambda v: (v != "") & F.contains(low, v))
+
+
+def topic(request: Column, otherwise: Column) -> Column:
+    out = otherwise
+    for word, name in reversed(TOPICS):
+        out = F.when(F.contains(F.lower(request), F.lit(word)), F.lit(name)).otherwise(out)
+    return out
+
+
+def fence(text: Column) -> Column:
+    """A markdown fence longer than any run of backticks in a text, of three at least."""
+    longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("(`+)"), F.lit(1)), lambda x: F.length(x))), F.lit(0))
+    return F.repeat(F.lit("`"), F.greatest(F.lit(3), longest + 1))
+
+
+def table_cell(text: Column) -> Column:
+    """Text for a cell of a markdown table: bars escaped, on one line."""
+    return F.translate(F.replace(F.coalesce(text, F.lit("")), F.lit("|"), F.lit("\\|")), "\n", " ")
+
+
 def speech_seconds(words: Column) -> Column:
     """Seconds to speak so many words at 150 a minute, at least two."""
     return F.greatest(F.lit(2.0), F.round(words / 150.0 * 60.0 + 0.5, 2))
@@ -71,7 +136,7 @@ def one_line(text: Column, most: int = 300) -> Column:
 
 def safe_path(path: Column) -> Column:
     """Whether a relative path has no empty, dot, drive or backslash segments."""
-    bad = lambda s: (s == "") | (s == ".") | (s == "..") | s.contains(":") | s.contains("\\")
+    bad = lambda s: (s == "") | (s == ".") | (s == "..") | s.contains(":") | s.contains("\\") | s.contains("\x00")
     return F.forall(F.split(path, "/"), lambda s: ~bad(s))
 
 
@@ -109,5 +174,23 @@ def byte_range(header: Column, size: Column) -> Column:
     return F.when(ok, F.struct(F.when(bad, F.lit(-1).cast("long")).otherwise(start.cast("long")).alias("start"), F.when(bad, F.lit(-1).cast("long")).otherwise(end.cast("long")).alias("end")))
 
 
+def location(start: Column, end: Column, path: Column) -> Column:
+    """Where a passage stands: its pages and its section."""
+    section = F.when(F.size(F.coalesce(path, F.array().cast("array<string>"))) > 0, F.concat(F.lit("section "), F.array_join(path, " > ")))
+    return F.nullif(F.concat_ws(", ", page_label(start, end), section), F.lit(""))
+
+
 def page_label(start: Column, end: Column) -> Column:
     return F.when(start.isNull(), F.lit(None).cast("string")).when(end.isNull() | (start == end), F.concat(F.lit("page "), start)).otherwise(F.concat(F.lit("pages "), start, F.lit("-"), end))
+
+
+def database_url(url: Column) -> Column:
+    """The address of a PostgreSQL database with its driver named; null for other databases."""
+    rest = F.regexp_extract(url, r"^(?:postgres|postgresql|postgresql\+psycopg2|postgresql\+psycopg)://(.*)$", 1)
+    return F.when(url.rlike(r"^(?:postgres|postgresql|postgresql\+psycopg2|postgresql\+psycopg)://"), F.concat(F.lit("postgresql+psycopg://"), rest))
+
+
+def media_url(path: Column, root: str) -> Column:
+    """The address of a file below a root; null for others."""
+    head = root.rstrip("/") + "/"
+    return F.when(path.startswith(head), F.concat(F.lit("/media/"), F.substring(path, len(head) + 1, 1_000_000)))

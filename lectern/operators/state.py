@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: States in their order.
@@ -39,3 +39,66 @@ def limiter_windows(attempts: DataFrame, most: int, seconds: int) -> DataFrame:
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     w = Window.partitionBy("key").orderBy("us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
     return attempts.withColumn("us", us).withColumn("n", F.count("*").over(w)).where(F.col("n") >= most).select("key", "id", "n")
+
+
+def claims(events: DataFrame) -> DataFrame:
+    """paper, event_id of events(paper, event_id, ts, kind) that win a retry: the first claim after a failure; later ones find nothing to claim."""
+    w = Window.partitionBy("paper").orderBy("ts", "event_id")
+    last_failure = F.max(F.when(F.col("kind") == "failed", F.struct("ts", "event_id"))).over(w)
+    c = events.withColumn("failure", last_failure).where((F.col("kind") == "claim") & F.col("failure").isNotNull())
+    first = Window.partitionBy("paper", "failure").orderBy("ts", "event_id")
+    return c.withColumn("n", F.row_number().over(first)).where("n = 1").select("paper", "event_id")
+
+
+def failed_in_progress(papers: DataFrame) -> DataFrame:
+    """papers(paper, status) after a restart: what was in progress has failed."""
+    return papers.withColumn("status", F.when(F.col("status").isin(*STAGES[:-1]), F.lit("failed")).otherwise(F.col("status")))
+
+
+def patched(rows: DataFrame, changes: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """rows with the fields that changes(key, ts, field, value) may set, each at its latest change, and updated_at at the last one.
+
+    Fields that aren't named in ``fields`` are ignored; a null value clears a field.
+    """
+    known = changes.where(F.col("field").isin(*fields))
+    latest_of = lambda f: F.max(F.when(F.col("field") == f, F.struct("ts", F.struct("value").alias("v")))).alias(f"_{f}")
+    c = known.groupBy(key).agg(F.max("ts").alias("_at"), *(latest_of(f) for f in fields))
+    out = rows.join(c, key, "left")
+    keep = [F.col(x) for x in rows.columns if x not in fields and x != "updated_at"]
+    new = [F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.v.value")).otherwise(F.col(f)).alias(f) for f in fields]
+    return out.select(*keep, *new, F.greatest(F.col("updated_at"), F.col("_at")).alias("updated_at"))
+
+
+def job_stages(events: DataFrame, stages: tuple[str, ...]) -> DataFrame:
+    """job, stage, state of events(job, ts, event_id, kind, stage), kind being ``enter``, ``complete`` or ``fail``.
+
+    Entering a stage closes the earlier ones that are open; stages entered before stay as they are.  Completing closes all, failing
+    fails the current ones.  Unknown stages are ignored.  All of it follows from the order of the last entries.
+    """
+    known = F.create_map(*(x for i, s in enumerate(stages) for x in (F.lit(s), F.lit(i))))
+    e = events.withColumn("at", F.struct("ts", "event_id")).withColumn("no", F.try_element_at(known, F.col("stage"))).where((F.col("kind") != "enter") | F.col("no").isNotNull())
+    jobs = e.groupBy("job").agg(F.max(F.when(F.col("kind") == "complete", F.col("at"))).alias("completed"), F.max(F.when(F.col("kind") == "fail", F.col("at"))).alias("failed"), F.collect_set(F.when(F.col("kind") == "enter", F.struct("no", "at"))).alias("entered"))
+    j = jobs.select("job", "completed", "failed", "entered", F.posexplode(F.array(*map(F.lit, stages))).alias("no", "stage"))
+    own = F.array_max(F.transform(F.filter("entered", lambda x: x["no"] == F.col("no")), lambda x: x["at"]))
+    later = F.array_max(F.transform(F.filter("entered", lambda x: x["no"] > F.col("no")), lambda x: x["at"]))
+    j = j.withColumn("own", own).withColumn("later", later)
+    current = F.col("own").isNotNull() & (F.col("later").isNull() | (F.col("own") > F.col("later")))
+    closed = F.col("later").isNotNull() & ~current
+    state = F.when(closed, "done").when(current, F.when(F.col("failed") > F.col("own"), "failed").when(F.col("completed") > F.col("own"), "done").otherwise("current")).otherwise(F.when(F.col("completed").isNotNull(), "done").otherwise("pending"))
+    return j.select("job", "stage", state.alias("state"))
+
+
+def live_sessions(sessions: DataFrame, users: DataFrame, now: Column, days: int = 14) -> DataFrame:
+    """token_hash, user_id of sessions(token, user_id, created_at, revoked_at) that are neither over nor revoked, of users that exist."""
+    ends = F.col("created_at") + F.make_dt_interval(days=F.lit(days))
+    return sessions.where((ends > now) & F.col("revoked_at").isNull()).join(users.select("user_id").distinct(), "user_id", "left_semi").select(F.sha2("token", 256).alias("token_hash"), "user_id")
+
+
+def retry(status: Column, has_document: Column, claimed: Column) -> Column:
+    """What a retry of a paper leads to."""
+    return F.when(status != "failed", "only a failed paper can be retried").when(~claimed, "another retry was faster").when(has_document, "embedding").otherwise("queued")
+
+
+def upload(existing_status: Column, has_document: Column) -> Column:
+    """What an upload of a file leads to: a new paper, a new attempt of one that could not be read, or what is there."""
+    return F.when(existing_status.isNull(), "created").when((existing_status == "failed") & ~F.coalesce(has_document, F.lit(False)), "requeued").otherwise("already exists")

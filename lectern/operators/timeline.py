@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +52,20 @@ def wrap(text: str, width: int = 72) -> list[str]:
     return out
 
 
+def subtitle_lines(text: Column, width: int = 72) -> Column:
+    """The lines of each sentence of a text, wrapped."""
+
+    def f(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [x for part in re.split(r"(?<=[.!?])\s+", t.strip()) for x in wrap(part, width)], na_action="ignore")
+
+    return F.pandas_udf(f, "array<string>")(text)
+
+
+def estimated_seconds(size: Column) -> Column:
+    """How long an audio file of so many bytes is about, when it can't be measured."""
+    return F.greatest(F.lit(1.0), F.round(size / 2000.0, 2))
+
+
 def clip_fit(actual: Column, target: Column, most: float = 1.15) -> Column:
     """How a clip is made to fit: padded, played faster by at most ``most``, or left as it is, as ``pad x`` or ``speed x``."""
     factor = F.greatest(target / actual, F.lit(1 / most))

@@ -5,38 +5,13 @@ Every query runs over its whole tables.  Where both engines compute floats, they
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import blocks as B
-from lectern.operators import chunking, evaluation, grounding, retrieval, state, store, timeline, traces
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-class Data:
-    """Tables of a directory by name."""
-
-    def __init__(self, spark: SparkSession, d: str) -> None:
-        self.spark, self.d = spark, d
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.d}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[Data], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, d: f(Data(spark, d))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from lectern.operators import evaluation, retrieval, state, store, timeline
+from lectern.plans.base import QUERIES, SQL, Data, query  # noqa: F401
 
 COS = "list_dot_product(q.embedding::double[], v.embedding::double[]) / (sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) * sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])))"
 HITS = f"""
@@ -99,46 +74,12 @@ def recall_and_mrr(t):
     return evaluation.recall_at(evaluation.first_relevant(_judged(t, 20)), (1, 3, 5))
 
 
-@query(f"""select category, count(*) as queries, avg((coalesce(found, 99) <= 5)::int) as recall_5, coalesce(round(sum(1.0::double / found) / count(*), 9), 0) as mrr from {_FOUND} group by category""")
-def recall_by_category(t):
-    j = _judged(t, 20)
-    return evaluation.recall_at(evaluation.first_relevant(j).join(j.select("query_id", F.col("qlabel").alias("category")).distinct(), "query_id"), (5,), ["category"])
-
-
 @query("""with s as (select coalesce(duration_seconds, 0.0) as x from llm_calls)
     select min(x) as lowest, median(x) as median, max(x) as highest from s""")
 def score_range(t):
     return evaluation.score_range(t.llm_calls.select(F.col("duration_seconds").alias("score")))
 
 
-@query("""with s as (select distinct call_id, round(duration_seconds, 1) as score, error is null as positive from llm_calls where duration_seconds is not null),
-    d as (select distinct score from s),
-    cuts as (select (score + lead(score) over (order by score)) / 2 as t from d union all select min(score) - 1e-9 from d union all select max(score) + 1e-9 from d),
-    b as (select score, count(*) as n, sum(positive::int) as p from s group by score),
-    a as (select t, sum(case when score >= t then p else n - p end) / (select count(*) from s) as acc from cuts, b where t is not null group by t)
-    select round(t, 9) as threshold, round(acc, 9) as accuracy from a order by round(acc, 12) desc, t limit 1""")
-def threshold_search(t):
-    s = t.llm_calls.where("duration_seconds is not null").select("call_id", F.round("duration_seconds", 1).alias("score"), F.col("error").isNull().alias("positive")).distinct()
-    return evaluation.best_threshold(s).select(F.round("threshold", 9).alias("threshold"), F.round("accuracy", 9).alias("accuracy"))
-
-
-@query("""with a as (select document_id, chunk_id, row_number() over (order by token_count_estimate desc nulls last, chunk_id) as pos from rag_document_chunks),
-    b as (select document_id, chunk_id, row_number() over (order by length(text) desc, chunk_id) as pos from rag_document_chunks),
-    r as (select 0 as l, chunk_id as item, pos as rank, 'vector' as method from a where pos <= 20 union all select 1, chunk_id, pos, 'keyword' from b where pos <= 20)
-    select item, round(sum(1.0::double / (60 + rank)), 12) as score, list_sort(list(method), 'desc') as methods from r group by item""")
-def rrf_fusion(t):
-    c = t.rag_document_chunks
-    pick = lambda no, method, *order: c.orderBy(*order).limit(20).select(F.lit(no).alias("list_no"), F.row_number().over(Window.orderBy(*order)).alias("pos"), F.col("chunk_id").alias("item"), F.lit(method).alias("method"))
-    both = pick(0, "vector", F.col("token_count_estimate").desc_nulls_last(), "chunk_id").unionByName(pick(1, "keyword", F.length("text").desc(), "chunk_id"))
-    return retrieval.fuse(both).select("item", "score", "methods")
-
-
-@query("""select chunk_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: w in ('pressure', 'glacier', 'temperature')))::bigint as hits
-    from rag_document_chunks where hits > 0""")
-def keyword_raw(t):
-    return retrieval.keyword_hits(t.rag_document_chunks, ["pressure", "Glacier", "temperature"])
-
-
 @query("select chunk_id, case when text = '' then 0 else greatest(1, ceil(octet_length(encode(text)) / 4.0)) end::int as tokens from rag_document_chunks")
 def token_estimate(t):
     return t.rag_document_chunks.select("chunk_id", T.token_estimate(F.col("text")).alias("tokens"))
@@ -187,31 +128,6 @@ def uuid5_ids(t):
     return t.rag_document_chunks.select("chunk_id", T.uuid5(F.col("chunk_id")).alias("id"))
 
 
-@query("""select block_id, case lower(source_label) when 'title' then 'title' when 'section_header' then 'heading' when 'text' then 'paragraph' when 'paragraph' then 'paragraph'
-    when 'list_item' then 'list_item' when 'table' then 'table' when 'picture' then 'figure' when 'figure' then 'figure' when 'formula' then 'equation' when 'equation' then 'equation'
-    when 'code' then 'code' when 'caption' then 'caption' when 'footnote' then 'footnote' else 'other' end as kind from rag_document_blocks""")
-def block_types(t):
-    return t.rag_document_blocks.select("block_id", B.block_type(F.col("source_label")).alias("kind"))
-
-
-@query(r"""with b as (select document_id, ordinal, source_label, text, lead(text, 1) over w as t1, lead(text, 2) over w as t2, lead(ordinal, 1) over w as o1, lead(ordinal, 2) over w as o2
-    from rag_document_blocks where trim(text, ' ') <> '' window w as (partition by document_id order by ordinal)),
-    h as (select * from b where (source_label = 'title' or source_label = 'section_header' and len(regexp_split_to_array(trim(text), '\s+')) >= 4 and length(text) >= 20)
-    and regexp_matches(t1, '^(?:[A-Z][A-Za-z''’-]*|[A-Z]\.)(?:\s+(?:[A-Z][A-Za-z''’-]*|[A-Z]\.)){1,4}$') and regexp_matches(t2, '(?i)\b(?:department|college|university|institute|school|laboratory)\b'))
-    select document_id, ordinal, 'title' as role from h union all select document_id, o1, 'author' from h union all select document_id, o2, 'affiliation' from h""")
-def metadata_roles(t):
-    return B.metadata_roles(t.rag_document_blocks)
-
-
-@query("""with b as (select document_id, ordinal, text, block_type = 'heading' and trim(text, ' ') <> '' as is_h, greatest(1, least(6, coalesce(heading_level, 1))) as lv from rag_document_blocks),
-    n as (select b.document_id, b.ordinal, h.ordinal as ho, h.lv, h.text, min(h.lv) over (partition by b.document_id, b.ordinal order by h.ordinal desc rows between unbounded preceding and 1 preceding) as lower_later
-    from b join b h on b.document_id = h.document_id and h.is_h and h.ordinal <= b.ordinal)
-    select b.document_id, b.ordinal, coalesce(string_agg(n.text, ' > ' order by n.ho) filter (where n.lower_later is null or n.lower_later > n.lv), '') as path
-    from b left join n using (document_id, ordinal) group by b.document_id, b.ordinal""")
-def section_path(t):
-    return B.section_paths(t.rag_document_blocks).select("document_id", "ordinal", F.array_join("path", " > ").alias("path"))
-
-
 _LAYER = "select document_id, page_number, sum(length(text)) as layer_chars from rag_document_blocks where page_number is not null group by all"
 
 
@@ -224,28 +140,6 @@ def lost_pages(t):
     return B.lost_pages(layer, b.where("block_type = 'paragraph'"))
 
 
-@query("""select block_id, case when block_type = 'figure' and coalesce(trim(caption), '') <> '' and strpos(text, caption) = 0 then case when text = '' then caption else text || chr(10) || caption end
-    when block_type = 'table' and coalesce(trim(caption), '') <> '' then 'Table caption: ' || caption || chr(10) || text else text end as content from rag_document_blocks""")
-def block_content(t):
-    return t.rag_document_blocks.select("block_id", B.content_text(F.col("block_type"), F.col("text"), F.col("caption")).alias("content"))
-
-
-@query("""select block_id, 'negative ordinal' as problem from rag_document_blocks where ordinal < 0 union all select block_id, 'page not positive' from rag_document_blocks where page_number <= 0
-    union all select block_id, 'ordinal twice' from (select block_id, count(*) over (partition by document_id, ordinal) as n from rag_document_blocks) where n > 1""")
-def block_violations(t):
-    return B.violations(t.rag_document_blocks)
-
-
-@query()
-def chunk_documents(t):
-    return chunking.chunk(t.rag_document_blocks)
-
-
-@query()
-def chunk_summary(t):
-    return chunking.summary(chunking.chunk(t.rag_document_blocks))
-
-
 @query("select chunk_id, lag(chunk_id) over w as previous_chunk_id, lead(chunk_id) over w as next_chunk_id from rag_document_chunks window w as (partition by document_id order by sequence_index, chunk_id)")
 def section_links(t):
     return store.linked(t.rag_document_chunks)
@@ -257,26 +151,6 @@ def chunk_ref_violations(t):
     return store.broken_references(t.rag_chunk_source_blocks, t.rag_document_blocks, t.rag_document_chunks).select("chunk_id", F.array_join("missing", ",").alias("missing"))
 
 
-@query("""select d.document_id, count(distinct c.chunk_id) as chunks, count(distinct b.block_id) filter (where b.block_type = 'figure') as figures from rag_documents d
-    left join rag_document_chunks c using (document_id) left join rag_document_blocks b using (document_id) group by d.document_id""")
-def paper_report(t):
-    c = t.rag_document_chunks.groupBy("document_id").agg(F.count_distinct("chunk_id").alias("chunks"))
-    f = t.rag_document_blocks.where("block_type = 'figure'").groupBy("document_id").agg(F.count_distinct("block_id").alias("figures"))
-    zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
-    return t.rag_documents.select("document_id").distinct().join(c, "document_id", "left").join(f, "document_id", "left").select("document_id", zero("chunks"), zero("figures"))
-
-
-@query("""select i.item_id, p.doc_id from (select item_id, unnest(answer_phrases) as phrase from eval_items) i join documents p on contains(lower(p.text), lower(i.phrase)) where trim(phrase) <> '' group by all""")
-def phrase_relevance(t):
-    phrases = t.eval_items.select("item_id", F.explode("answer_phrases").alias("phrase")).where("trim(phrase) <> ''").select("item_id", F.lower("phrase").alias("phrase"))
-    rows = phrases.limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more phrases than one pass over the texts checks")
-    low = F.lower("text")
-    found = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(r["phrase"])), F.lit(r["item_id"])) for r in rows))) if rows else F.array().cast("array<bigint>")
-    return t.documents.select("doc_id", F.explode(F.array_distinct(found)).alias("item_id")).distinct()
-
-
 @query("""select section_id, len(list_filter(regexp_split_to_array(regexp_replace(trim(coalesce(narration, ''), ' '), '\\n', ' ', 'g'), '[ \\t\\n\\f\\r\\x0b]+'), lambda w: w <> ''))::int as words from script_sections""")
 def script_words(t):
     return t.script_sections.select("section_id", T.word_count(F.col("narration")).alias("words"))
@@ -342,36 +216,6 @@ def compact_equations(t):
     return t.script_sections.select("section_id", T.compact_equation(F.col("background")).alias("compact"))
 
 
-@query(r"""select section_id, case when coalesce(trim(background), '') = '' then null when regexp_matches(background, '[0-9%=<>$]') then 'digit or symbol'
-    when regexp_matches(background, '(?i)\b(?:the paper|the authors?|this study|results? shows?|experiments? shows?)\b') then 'claim about the paper'
-    when len(regexp_split_to_array(trim(background), '[.!?]["'')\]]*[ \t\n\f\r\x0b]+')) > 2 then 'too long' end as problem from script_sections""")
-def background_rules(t):
-    return t.script_sections.select("section_id", grounding.background_problem(F.col("background")).alias("problem"))
-
-
-@query()
-def numbers_supported(t):
-    c = t.sentence_checks.select("check_id", "sentence", "quote").distinct()
-    return c.select("check_id", F.array_join(grounding.unsupported_numbers(F.coalesce("sentence", F.lit("")), F.coalesce("quote", F.lit(""))), ",").alias("unsupported")).where("unsupported <> ''")
-
-
-@query(r"""with s as (select distinct section_id as part, sentence_index as i, not supported as rejected, regexp_matches(sentence, '(?i)^(?:it|this|that|these|those|they|he|she|such|therefore|however|thus)\b') as refers_back, check_id from sentence_checks),
-    a as (select *, sum((not rejected and not refers_back)::int) over (partition by part order by i, check_id rows unbounded preceding) as island from s),
-    b as (select *, max(rejected::int) over (partition by part, island order by i, check_id rows between unbounded preceding and 1 preceding) as prior from a)
-    select check_id, case when rejected then 'rejected' when refers_back and coalesce(prior, 0) = 1 then 'dependent' else 'kept' end as fate from b""")
-def sentence_removal(t):
-    s = t.sentence_checks.select("section_id", "sentence_index", "check_id", (~F.col("supported")).alias("rejected"), F.col("sentence").rlike(grounding.REFERS_BACK).alias("refers_back")).distinct()
-    parts = s.select(F.col("section_id").alias("part"), F.struct("sentence_index", "check_id").alias("i"), "rejected", "refers_back")
-    return grounding.removal(parts).select(F.col("i.check_id").alias("check_id"), "fate")
-
-
-@query("""with s as (select part_no, section_id, count(distinct sentence_index) as n from (select section_id, sentence_index, section_id as part_no from sentence_checks) group by all)
-    select section_id as part from (select section_id, count(*) as rows_, count(distinct sentence_index) as d, max(sentence_index) as m, min(sentence_index) as l from (select distinct check_id, section_id, sentence_index from sentence_checks) group by section_id) where rows_ <> d or l < 0 or m >= rows_""")
-def verdict_index_problems(t):
-    v = t.sentence_checks.select("check_id", F.col("section_id").alias("part"), F.col("sentence_index").alias("i")).distinct()
-    return grounding.index_problems(v, v)
-
-
 @query("""with c as (select distinct call_id, run_id, label, seq from llm_calls), n as (select *, row_number() over (partition by run_id, label order by seq, call_id) as n from c)
     select call_id, case when n = 1 then label else label || ' #' || n end as shown from n""")
 def log_labels(t):
@@ -415,34 +259,6 @@ def one_line(t):
     return t.documents.select("doc_id", T.one_line(F.col("text")).alias("line"))
 
 
-@query("""with r as (select * from (values ('bytes=0-99', 1000), ('bytes=900-', 1000), ('bytes=-100', 1000), ('bytes=1000-', 1000), ('bytes=a-b', 1000), ('bytes=-0', 10), ('bytes=5-4', 10), ('bytes=-2000', 1000)) v(header, size))
-    select * from (values ('bytes=0-99', 0, 99), ('bytes=900-', 900, 999), ('bytes=-100', 900, 999), ('bytes=1000-', -1, -1), ('bytes=a-b', null, null), ('bytes=-0', -1, -1), ('bytes=5-4', -1, -1), ('bytes=-2000', 0, 999)) v(header, start_byte, end_byte)""")
-def byte_range(t):
-    rows = [("bytes=0-99", 1000), ("bytes=900-", 1000), ("bytes=-100", 1000), ("bytes=1000-", 1000), ("bytes=a-b", 1000), ("bytes=-0", 10), ("bytes=5-4", 10), ("bytes=-2000", 1000)]
-    r = t.spark.createDataFrame(rows, "header string, size long").withColumn("r", T.byte_range(F.col("header"), F.col("size")))
-    return r.select("header", F.col("r.start").cast("int").alias("start_byte"), F.col("r.end").cast("int").alias("end_byte"))
-
-
-@query()
-def trace_steps(t):
-    traces.register(t.spark)
-    tests = "select * from values (array(1, 3, 5, 7, 9), 7), (array(3, 1, 2), 1) as v(a, b)"
-    one = lambda name: t.spark.sql(f"select '{name}' as tracer, s.step, cast(s.values as string) as state, s.event from ({tests}) v, lateral trace_{name}(v.a, v.b) s")
-    out = one("binary_search")
-    for name in ("linear_search", "bubble_sort", "insertion_sort"):
-        out = out.unionAll(one(name))
-    return out
-
-
-@query("""with v as (select distinct check_id, section_id, sentence, verdict, quote from sentence_checks), j as (select v.*, s.part_name, s.narration as cited from v join script_sections s using (section_id))
-    select check_id, coalesce(verdict = 'framing' and part_name in ('introduction', 'conclusion') and not regexp_matches(sentence, '[0-9]')
-    or verdict = 'supported' and length(regexp_replace(coalesce(quote, ''), '[^\\p{L}\\p{N}]', '', 'g')) >= 15
-    and contains(regexp_replace(lower(coalesce(cited, '')), '[ \\t\\n\\f\\r\\x0b]+', '', 'g'), regexp_replace(lower(coalesce(quote, '')), '[ \\t\\n\\f\\r\\x0b]+', '', 'g')), false) as passes from j""")
-def verdict_judge(t):
-    v = t.sentence_checks.select("check_id", "section_id", "sentence", "verdict", "quote").distinct()
-    return grounding.judged(v.join(t.script_sections.select("section_id", "part_name", F.col("narration").alias("cited")), "section_id"))
-
-
 @query("""select distinct call_id, case when duration_seconds <= 20 then 'pad ' || printf('%.3f', 20 - duration_seconds) else 'speed ' || printf('%.6f', greatest(20 / duration_seconds, 1 / 1.15::double)) end as fit
     from llm_calls where duration_seconds > 0""")
 def clip_fit(t):
@@ -459,9 +275,3 @@ def elapsed_seconds(t):
     from (select doc_id, octet_length(encode(text))::bigint as n from documents)""")
 def size_labels(t):
     return t.documents.select("doc_id", timeline.size_label(F.octet_length("text").cast("long")).alias("label"))
-
-
-@query(r"""select doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```[a-zA-Z]*\n?(.*?)```', '\1', 'g'), '`([^`]*)`', '\1', 'g'),
-    '\*\*(.*?)\*\*', '\1', 'g'), '\*(.*?)\*', '\1', 'g'), '(?m)^#{1,6}\s*', '', 'g'), '(?m)^\s*[-*+]\s+', '', 'g')) as sha from documents""")
-def markdown_strip(t):
-    return t.documents.select("doc_id", F.sha2(T.strip_markdown(F.col("text")), 256).alias("sha"))

@@ -1,4 +1,7 @@
-"""Sliding-window limiter over a stream: after ``most`` failures within ``seconds`` a key is locked; attempts while locked don't count."""
+"""Sliding-window limiter over a stream: after ``most`` failures within ``seconds`` a key is locked; attempts while locked don't count.
+
+The state of a key goes once no attempt came for the length of the window, by the clock of the stream.
+"""
 
 from __future__ import annotations
 
@@ -24,12 +27,33 @@ def limit(attempts: DataFrame, most: int = 5, seconds: int = 900) -> DataFrame:
     """key, id, refused, retry_after of a stream attempts(key string, id long, us long, ok boolean); rows of a batch are taken in time order."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         rows = []
         for r in pd.concat(list(batches)).sort_values(["us", "id"]).itertuples():
             times, refused, wait = decide(times, int(r.us), bool(r.ok), most, seconds * 1_000_000)
             rows.append((key[0], int(r.id), refused, wait))
         state.update((times,))
+        state.setTimeoutDuration(seconds * 1000)
         yield pd.DataFrame(rows, columns=["key", "id", "refused", "retry_after"])
 
-    return attempts.groupBy("key").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return attempts.groupBy("key").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def replay(attempts: DataFrame, most: int = 5, seconds: int = 900) -> DataFrame:
+    """key, id, refused, retry_after of stored attempts(key string, id long, us long, ok boolean), which stream through in their order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, times = None, []
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                if r.key != key:
+                    key, times = r.key, []
+                times, refused, wait = decide(times, int(r.us), bool(r.ok), most, seconds * 1_000_000)
+                rows.append((key, int(r.id), refused, wait))
+            yield pd.DataFrame(rows, columns=["key", "id", "refused", "retry_after"])
+
+    return attempts.select("key", "id", "us", "ok").repartition("key").sortWithinPartitions("key", "us", "id").mapInPandas(run, OUT)

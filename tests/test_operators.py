@@ -72,7 +72,7 @@ def block(i, kind="paragraph", text="Some text.", path=("A",), **more):
 def test_chunking_combines_splits_and_skips(spark):
     rows = [block(0, "title", "T", (), is_document_metadata=True), block(1, "heading", "A"), block(2), block(3, page_number=2), block(4, path=("B",)), block(5, "figure", "", ("B",))]
     got = chunking.chunk(spark.createDataFrame(rows, BLOCK), 100, 150, 10, 1).orderBy("sequence_index").collect()
-    assert [r["block_ids"] for r in got] == [["b1", "b2", "b3"], ["b4", "b5"]]
+    assert [r["source_ids"] for r in got] == [["b1", "b2", "b3"], ["b4", "b5"]]
     assert (got[0]["page_start"], got[0]["page_end"]) == (1, 2)
     assert "T" not in got[0]["text"].split()
 
@@ -80,7 +80,7 @@ def test_chunking_combines_splits_and_skips(spark):
 def test_chunking_long_texts_stay_within_the_limit(spark):
     text = " ".join(f"Sentence number {i} says a little." for i in range(60))
     got = chunking.chunk(spark.createDataFrame([block(1, text=text), block(2, text="x" * 2400)], BLOCK), 30, 40, 5, 1).collect()
-    assert max(r["tokens"] for r in got) <= 40
+    assert max(r["token_count_estimate"] for r in got) <= 40
     whole = " ".join(r["text"] for r in got)
     assert all(f"number {i} " in whole for i in range(60))
     assert chunking.chunk(spark.createDataFrame([], BLOCK)).count() == 0
@@ -100,8 +100,9 @@ def test_removal_takes_what_refers_back(spark):
 
 
 def test_numbers(spark):
-    row = spark.createDataFrame([("On page 5, 3 of 12.5 and 7", "12.5 and 3")], "a string, b string").select(grounding.unsupported_numbers(F.col("a"), F.col("b")).alias("x")).first()
-    assert row["x"] == ["7"]
+    df = spark.createDataFrame([("On page 5, 3 of 12.5 and 7", "12.5 and 3")], "a string, b string")
+    row = df.select(grounding.unsupported_numbers(F.col("a"), F.col("b")).alias("x"), grounding.unsupported_numbers(F.col("a"), F.col("b"), F.lit("page 5")).alias("y")).first()
+    assert row["x"] == ["5", "7"] and row["y"] == ["7"]
 
 
 def test_upsert_and_missing(spark):
@@ -148,16 +149,16 @@ def test_traces_end_right():
     values = [3, 1, 2, 9, -4]
     for f in (traces.bubble_sort, traces.insertion_sort):
         assert list(f(values))[-1][1] == sorted(values)
-    assert list(traces.linear_search([4, 5], 5))[-1][2] == "found 1"
-    assert list(traces.binary_search([1, 2], 9))[-1][2] == "absent"
+    assert list(traces.linear_search([4, 5], 5))[-1][7:] == (1, "found")
+    assert list(traces.binary_search([1, 2], 9))[-1][8] == "absent"
 
 
 def test_phrases_of_items_after_many_without_any_are_found(spark):
     from types import SimpleNamespace
 
-    from lectern.plans import registry
+    from lectern.plans import search
 
-    none = spark.range(10_050).select(F.col("id").alias("item_id"), F.lit(None).cast("array<string>").alias("answer_phrases")).coalesce(1)
+    none = spark.range(20_050).select(F.col("id").alias("item_id"), F.lit(None).cast("array<string>").alias("answer_phrases")).coalesce(1)
     one = spark.createDataFrame([(99_999, ["Red fox"])], "item_id long, answer_phrases array<string>")
     t = SimpleNamespace(eval_items=none.unionByName(one), documents=spark.createDataFrame([(1, "a red fox")], "doc_id long, text string"))
-    assert [tuple(r) for r in registry.phrase_relevance(t).select("doc_id", "item_id").collect()] == [(1, 99_999)]
+    assert [tuple(r) for r in search.phrase_relevance(t).select("doc_id", "item_id").collect()] == [(1, 99_999)]
