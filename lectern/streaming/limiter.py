@@ -1,6 +1,6 @@
 """Sliding-window limiter over a stream: after ``most`` failures within ``seconds`` a key is locked; attempts while locked don't count.
 
-The state of a key goes once no attempt came for the length of the window, by the clock of the stream.
+The state of a key goes once the watermark has passed the last attempt by the length of the window.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "key string, id long, refused boolean, retry_after long"
@@ -23,8 +24,11 @@ def decide(times: list[int], now: int, ok: bool, most: int, window: int) -> tupl
     return ([] if ok else [*times, now]), False, 0
 
 
-def limit(attempts: DataFrame, most: int = 5, seconds: int = 900) -> DataFrame:
-    """key, id, refused, retry_after of a stream attempts(key string, id long, us long, ok boolean); rows of a batch are taken in time order."""
+def limit(attempts: DataFrame, most: int = 5, seconds: int = 900, lateness: str = "1 hour") -> DataFrame:
+    """key, id, refused, retry_after of a stream attempts(key string, id long, us long, ok boolean); rows of a batch are taken in time order.
+
+    lateness: how far behind the latest attempt others may come.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -36,10 +40,12 @@ def limit(attempts: DataFrame, most: int = 5, seconds: int = 900) -> DataFrame:
             times, refused, wait = decide(times, int(r.us), bool(r.ok), most, seconds * 1_000_000)
             rows.append((key[0], int(r.id), refused, wait))
         state.update((times,))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (max(times, default=0) // 1000) + seconds * 1000))
         yield pd.DataFrame(rows, columns=["key", "id", "refused", "retry_after"])
 
-    return attempts.groupBy("key").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    # a millisecond later, as the watermark begins at the epoch
+    timed = attempts.withColumn("at", F.timestamp_micros(F.col("us") + 1000)).withWatermark("at", lateness)
+    return timed.groupBy("key").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def replay(attempts: DataFrame, most: int = 5, seconds: int = 900) -> DataFrame:
