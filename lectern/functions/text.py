@@ -194,3 +194,10 @@ def media_url(path: Column, root: str) -> Column:
     """The address of a file below a root; null for others."""
     head = root.rstrip("/") + "/"
     return F.when(path.startswith(head), F.concat(F.lit("/media/"), F.substring(path, len(head) + 1, 1_000_000)))
+
+
+def caption(own: Column, parts: Column) -> Column:
+    """A caption of its own, else what its parts say, joined; null for neither."""
+    t = F.trim(F.coalesce(own, F.lit("")))
+    joined = F.array_join(F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""), " ")
+    return F.when(t != "", t).when(joined != "", joined)

@@ -102,3 +102,19 @@ def retry(status: Column, has_document: Column, claimed: Column) -> Column:
 def upload(existing_status: Column, has_document: Column) -> Column:
     """What an upload of a file leads to: a new paper, a new attempt of one that could not be read, or what is there."""
     return F.when(existing_status.isNull(), "created").when((existing_status == "failed") & ~F.coalesce(has_document, F.lit(False)), "requeued").otherwise("already exists")
+
+
+def can_retry(status: Column, document: Column) -> Column:
+    """Whether a paper that failed still has what it takes to go on."""
+    return (status == "failed") & document.isNotNull()
+
+
+def by_email(users: DataFrame, emails: DataFrame) -> DataFrame:
+    """users(user_id, email) of the given emails(email), case and blanks around them aside."""
+    key = F.lower(F.trim("email"))
+    return users.withColumn("key", key).join(emails.select(key.alias("key")).distinct(), "key", "left_semi").drop("key")
+
+
+def lesson_minutes(level: Column) -> Column:
+    """A weakly covered topic gets a short lesson."""
+    return F.when(level == "weak", 2).otherwise(4)

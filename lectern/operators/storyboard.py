@@ -104,6 +104,13 @@ def planned(parts: DataFrame, beats: DataFrame) -> DataFrame:
     return b.join(parts, ["section", "i"]).groupBy("section", "beat", "visual").agg(text.alias("text"))
 
 
+def beats_or_fallback(sections: DataFrame, parts: DataFrame, beats: DataFrame) -> DataFrame:
+    """section, texts: a section's beats by its storyboard, short ones merged, or by groups of sentences where that doesn't count; sections(section, narration, title)."""
+    by = planned(parts, beats).groupBy("section").agg(F.transform(F.array_sort(F.collect_list(F.struct("beat", "text"))), lambda x: x["text"]).alias("told"))
+    j = sections.join(by, "section", "left")
+    return j.select("section", F.coalesce(merged_beats(F.col("told")), fallback_beats(F.when(F.col("told").isNull(), F.col("narration")), F.when(F.col("told").isNull(), F.col("title")))).alias("texts"))
+
+
 def clock(beats: DataFrame) -> DataFrame:
     """section, report of beats(section, beat, duration, animation): each beat waits for its place in the schedule; a late one doesn't move the later ones.
 

@@ -32,6 +32,23 @@ def step_groups(steps: DataFrame, key: str, order: str) -> DataFrame:
     return steps.select(key, order, F.sum((~F.col("with_previous")).cast("int")).over(w).cast("long").alias("grp"))
 
 
+def narrated(steps: DataFrame, narrations: DataFrame) -> DataFrame:
+    """section, segment, text, steps, fallback of steps(section, i, event) with narrations(section, grouped, sentences).
+
+    A narration counts when it has a flag for each step, the first one off, and a sentence that isn't blank for each flag that is off;
+    else, or where there is none, every step's event is a segment.
+    """
+    s = steps.groupBy("section").agg(F.array_sort(F.collect_list(F.struct("i", "event"))).alias("x")).join(narrations, "section", "left")
+    opens = F.size(F.filter("grouped", lambda g: ~g))
+    ok = (F.size("grouped") == F.size("x")) & ~F.coalesce(F.get("grouped", 0), F.lit(False)) & (F.size("sentences") == opens) & F.forall("sentences", lambda t: F.trim(t) != "")
+    s = s.withColumn("ok", F.coalesce(ok, F.lit(False)))
+    flat = s.select("section", "ok", "sentences", F.posexplode(F.zip_with("x", F.when(F.col("ok"), F.col("grouped")).otherwise(F.array().cast("array<boolean>")), lambda x, g: F.struct(x["i"].alias("i"), x["event"].alias("event"), F.coalesce(g, F.lit(False)).alias("g")))).alias("n", "x"))
+    segment = F.sum((~F.col("x.g")).cast("int")).over(Window.partitionBy("section").orderBy("n")) - 1
+    text = F.when(F.col("ok"), F.trim(F.get("sentences", F.col("segment").cast("int")))).otherwise(F.col("x.event"))
+    f = flat.withColumn("segment", segment).withColumn("text", text)
+    return f.groupBy("section", "segment").agg(F.min_by("text", "n").alias("text"), F.array_sort(F.collect_list("x.i")).alias("steps"), F.first(~F.col("ok")).alias("fallback"))
+
+
 def overlaps(boxes: DataFrame, share: float = 0.10) -> DataFrame:
     """frame, a, b of boxes(frame, id, x0, y0, x1, y1) that overlap by more than a share of the smaller one."""
     a, b = boxes.alias("a"), boxes.alias("b")

@@ -178,3 +178,17 @@ def insert_races(t):
 def zipped_calls(t):
     """Sections and calls of a run side by side, as far as both go."""
     return store.zipped(t.script_sections.select("run_id", "section_id"), t.llm_calls.select("run_id", "call_id", "seq").distinct(), ["run_id"], ["section_id"], ["seq", "call_id"]).select("section_id", "call_id")
+
+
+@query("""select document_id, page_count is null and title is not null as can_retry from rag_documents""")
+def retry_flags(t):
+    status = F.when(F.col("page_count").isNull(), "failed").otherwise("ready")
+    return t.rag_documents.select("document_id", state.can_retry(status, F.col("title")).alias("can_retry"))
+
+
+@query("""select document_id, lower(trim(user_id)) in (select lower(trim(' ' || upper(user_id) || ' ')) from rag_documents where title is null) as known from rag_documents""")
+def users_by_email(t):
+    users = t.rag_documents.select("document_id", F.col("user_id").alias("email"))
+    asked = t.rag_documents.where("title is null").select(F.concat(F.lit(" "), F.upper("user_id"), F.lit(" ")).alias("email"))
+    found = state.by_email(users, asked).select("document_id", F.lit(True).alias("known"))
+    return t.rag_documents.select("document_id").join(found, "document_id", "left").select("document_id", F.coalesce("known", F.lit(False)).alias("known"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import normal
 from lectern.functions import text as T
-from lectern.operators import grounding, layout, script, storyboard, timeline, traces
+from lectern.operators import code, grounding, layout, script, storyboard, timeline, traces
 from lectern.plans.base import QUERIES, SQL, Data, query  # noqa: F401
 from lectern.sources import files
 
@@ -462,3 +462,39 @@ def cell_roles(t):
     select document_id, step::int as step, case when step = 1 then 'add' else 'move' end as op, 'i' as name, (step - 1)::int as a from s union all select document_id, step::int, 'found', null, (step - 1)::int from s where step = hit""")
 def array_changes(t):
     return traces.changes(_trace(t, "linear_search", _arrays(t)), "document_id").select("document_id", "step", "op", "name", "a")
+
+
+@query()
+def code_problems(t):
+    """What is wrong with the scene code that calls returned."""
+    c = t.llm_calls.where("label like 'scene code%' and output is not null").select("call_id", "output").distinct()
+    return c.select("call_id", F.array_join(code.code_problems(code.unfenced(F.col("output"))), "; ").alias("problems"))
+
+
+@query("""with s as (select block_id, case when ordinal % 3 = 0 then ' ' else caption end as own, [trim(left(text, 20), ' '), ' ', trim(substr(text, 21, 10), ' ')] as parts from rag_document_blocks)
+    select block_id, case when trim(coalesce(own, ''), ' ') <> '' then trim(own, ' ') when array_to_string(list_filter(parts, lambda x: trim(x, ' ') <> ''), ' ') <> '' then array_to_string(list_filter(parts, lambda x: trim(x, ' ') <> ''), ' ') end as caption from s""")
+def captions(t):
+    own = F.when(F.col("ordinal") % 3 == 0, F.lit(" ")).otherwise(F.col("caption"))
+    return t.rag_document_blocks.select("block_id", T.caption(own, F.array(F.substring("text", 1, 20), F.lit(" "), F.substring("text", 21, 10))).alias("caption"))
+
+
+@query("""with c as (select distinct run_id, seq, call_id, label, prompt from llm_calls), s as (select run_id, row_number() over (partition by run_id order by seq, call_id) - 1 as i, label from c),
+    n as (select run_id, count(*) as k from s group by run_id), ok as (select run_id, k, k >= 2 and ascii(run_id) % 2 = 0 as told from n)
+    select s.run_id as section, case when told then i // 2 else i end::bigint as segment, min(case when told then 'part ' || (i // 2) else label end) as text, count(*) as steps, not told as fallback from s join ok using (run_id) where not told or true group by all""")
+def step_narrations(t):
+    """Calls of a run as steps: told two at a time in every second run, else by their labels."""
+    c = t.llm_calls.select("run_id", "seq", "call_id", "label").distinct()
+    steps = c.select(F.col("run_id").alias("section"), (F.row_number().over(Window.partitionBy("run_id").orderBy("seq", "call_id")) - 1).alias("i"), F.col("label").alias("event"))
+    n = steps.groupBy("section").agg(F.count("*").cast("int").alias("k")).where((F.ascii("section") % 2 == 0) & (F.col("k") >= 2))
+    told = n.select("section", F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: i % 2 == 1).alias("grouped"), F.transform(F.sequence(F.lit(0), F.floor((F.col("k") - 1) / 2).cast("int")), lambda i: F.concat(F.lit("part "), i.cast("string"))).alias("sentences"))
+    r = timeline.narrated(steps, told)
+    return r.select("section", F.col("segment").cast("long").alias("segment"), "text", F.size("steps").cast("long").alias("steps"), "fallback")
+
+
+@query()
+def storyboard_texts(t):
+    """Beats of every narration: two sentences at a time where their number is even, else by the fallback."""
+    s = t.script_sections.select(F.col("section_id").alias("section"), "narration", F.coalesce("section_title", F.lit("Part")).alias("title"))
+    parts = s.select("section", F.posexplode(storyboard.story_sentences(F.coalesce("narration", F.lit("")))).alias("i", "sentence"))
+    beats = parts.where("i % 2 = 0").select("section", F.floor(F.col("i") / 2).cast("int").alias("beat"), F.lit(2).alias("sentence_count"), F.lit("shown").alias("visual"))
+    return storyboard.beats_or_fallback(s, parts, beats).select(F.col("section").alias("section_id"), F.size("texts").alias("beats"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import normal
 from lectern.functions import text as T
-from lectern.operators import blocks, chunking, evaluation, grounding, keyword, layout, retrieval, script, state, store, storyboard, traces
+from lectern.operators import blocks, chunking, code, evaluation, grounding, keyword, layout, retrieval, script, state, store, storyboard, timeline, traces
 from lectern.sources import files
 from lectern.streaming import limiter
 
@@ -313,3 +313,24 @@ def test_reports_and_logs(spark, tmp_path):
     runs = spark.createDataFrame([("r1", "d1", "x"), ("r2", "", "y")], "run_id string, run_dir string, v string")
     files.write_artefacts(runs, str(tmp_path / "runs"))
     assert spark.read.json(str(tmp_path / "runs")).count() == 2
+
+
+def test_code_is_looked_at():
+    good = "from manim import *\nclass SectionScene(Scene):\n    def construct(self):\n        self.wait(1)\n"
+    assert code.problems(good) == []
+    bad = "import os, numpy.ctypeslib\nfrom . import x\nclass A: pass\nopen('x').sys.__class__\n__name__"
+    assert code.problems(bad) == ["1: import os", "1: import numpy.ctypeslib", "2: import from .", "4: attribute __class__", "4: attribute sys", "4: name open", "5: name __name__", "0: classes A"]
+    assert code.problems("def (") == ["1: syntax"] and code.problems("x = 1") == ["0: classes none"]
+
+
+def test_step_narrations_fall_back(spark):
+    steps = spark.createDataFrame([("a", 0, "e0"), ("a", 1, "e1"), ("a", 2, "e2"), ("b", 0, "f0"), ("c", 0, "g0"), ("c", 1, "g1")], "section string, i int, event string")
+    told = spark.createDataFrame([("a", [False, True, False], ["one ", "two"]), ("c", [True, False], ["x"])], "section string, grouped array<boolean>, sentences array<string>")
+    got = {(r["section"], r["segment"]): (r["text"], r["steps"], r["fallback"]) for r in timeline.narrated(steps, told).collect()}
+    assert got == {("a", 0): ("one", [0, 1], False), ("a", 1): ("two", [2], False), ("b", 0): ("f0", [0], True), ("c", 0): ("g0", [0], True), ("c", 1): ("g1", [1], True)}
+
+
+def test_small_ones(spark):
+    assert one(spark, "weak", state.lesson_minutes) == 2 and one(spark, "covered", state.lesson_minutes) == 4
+    r = spark.createDataFrame([(" ", ["a ", "", " b"]), (" c ", None), (None, [])], "own string, parts array<string>").select(T.caption(F.col("own"), F.col("parts")).alias("x")).collect()
+    assert [x["x"] for x in r] == ["a b", "c", None]
