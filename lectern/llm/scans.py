@@ -1,9 +1,10 @@
 """Noise in text from scanned pages (problem 2).
 
 Method: every word's anagram hash (the sum of its code points to the fifth power) changes by a fixed difference when one
-confusion of characters happens, wherever it happens.  Rare words, moved by each difference of the confusion
-table, are joined in SQL with the hashes of frequent words; a pair that the confusion really explains is a correction,
-and the most frequent word ranks first.  Words broken across lines are told from compounds by the counts of the joined word, of
+confusion of characters happens, wherever it happens.  Confusions are those that are known and those that the corpus
+shows: differences by which many rare words become frequent ones, but no frequent word another.  Rare words, moved by
+each difference, are joined in SQL with the hashes of frequent words; a pair that the confusion really explains is a
+correction, and the most frequent word ranks first.  Words broken across lines are told from compounds by the counts of the joined word, of
 the compound and of compounds with that first half.  Running heads are edge lines that a document repeats (exactly or
 nearly), its title and authors among them, or that carry a page number.
 
@@ -33,6 +34,8 @@ CONFUSIONS = [
     ("cl", "d"), ("ll", "u"), ("c", "e"), ("o", "a"), ("f", "t"), ("q", "g"), ("rn", "m"), ("ii", "u"), ("vv", "w"),
     ("i", "l"), ("l", "i"), ("z", "2"), ("g", "9"), ("b", "8"),
 ]
+#: Letters of the longest word that is looked at; what is longer is an address or a formula.
+LONGEST = 60
 RUNNING = ("paragraph", "footnote", "other", "caption")
 
 _D = r"(?:[0-9lIOoSB|]{1,6}|[ivxlcdmIVXLCDM]{1,10})"
@@ -207,20 +210,48 @@ def anagram_hash(word: F.Column) -> F.Column:
     return F.aggregate(points, F.lit(0).cast("long"), lambda s, c: s + c * c * c * c * c)
 
 
-def corrections(words: DataFrame, least: int = 5, ratio: float = 10.0) -> DataFrame:
+def _spelt(words: DataFrame) -> DataFrame:
+    """Words of letters whose fifth powers can be summed up: Latin, Greek and Cyrillic ones, and digits."""
+    return words.where((F.length("word") > 2) & (F.length("word") <= LONGEST) & F.col("word").rlike("^[0-9a-zß-ԯ]+$"))
+
+
+def learnt_confusions(words: DataFrame, least: int = 5, ratio: float = 10.0, support: int = 8, most: int = 200) -> list[tuple[str, str]]:
+    """What is printed and what recognition makes of it, by the corpus: words(word, n).
+
+    Words of five letters or more that differ in one place, by one or two characters, are joined by what they share.  A difference
+    counts when at least ``support`` rare words become frequent ones by it and it hardly ever turns a frequent word into another
+    frequent one, as inflections do.  At most ``most`` are taken, those with the most pairs.
+    """
+    w = _spelt(words).where(F.length("word") >= 5)
+    place = lambda size: F.transform(
+        F.sequence(F.lit(1), F.length("word") - size + 1),
+        lambda i: F.struct(F.concat(F.substr(F.col("word"), F.lit(1), i - 1), F.lit("*"), F.substr(F.col("word"), i + size)).alias("key"), F.substr(F.col("word"), i, F.lit(size)).alias("part")),
+    )
+    keys = w.select("word", "n", F.explode(F.concat(place(1), place(2))).alias("k")).select("word", "n", "k.key", "k.part")
+    right = keys.where((F.col("n") >= least) & ~F.col("word").rlike("[0-9]")).select("key", F.col("part").alias("true"), F.col("word").alias("right"), F.col("n").alias("right_n"))
+    j = keys.join(right, "key").where((F.col("part") != F.col("true")) & (F.length("part") + F.length("true") < 4) & (F.substring("part", 1, 1) != F.substring("true", 1, 1)) & (F.substring("part", -1, 1) != F.substring("true", -1, 1)))
+    rare = F.col("right_n") >= ratio * F.col("n")
+    pairs = j.groupBy("true", F.col("part").alias("seen")).agg(F.count_distinct(F.when(rare, F.struct("word", "right"))).alias("rare"), F.count_distinct(F.when(~rare & (F.col("n") >= least), F.struct("word", "right"))).alias("both"))
+    good = pairs.where((F.col("rare") >= support) & (F.col("rare") >= 10 * F.col("both"))).orderBy(F.desc("rare"), "true", "seen").limit(most)
+    return [(r["true"], r["seen"]) for r in good.collect()]
+
+
+def corrections(words: DataFrame, least: int = 5, ratio: float = 10.0, confusions: list[tuple[str, str]] | None = None) -> DataFrame:
     """word -> right, at: rare words of ``words(word, n)`` that one confusion explains by a frequent word.
 
-    least: occurrences of a frequent word; ratio: how many times more frequent than the rare word it must be.
+    least: occurrences of a frequent word; ratio: how many times more frequent than the rare word it must be; confusions: what
+    is printed and what is seen, besides the known ones.
     """
-    latin = words.where((F.length("word") > 2) & (F.length("word") <= 60) & F.col("word").rlike("^[a-z0-9ß-öø-ÿœ]+$"))
+    spelt = _spelt(words)
     power = lambda s: sum(ord(c) ** 5 for c in s)
-    table = F.array(*(F.struct(F.lit(a).alias("true"), F.lit(x).alias("seen"), F.lit(power(a) - power(x)).cast("long").alias("delta")) for a, x in CONFUSIONS))
+    known = list(dict.fromkeys([*CONFUSIONS, *(confusions or [])]))
+    table = F.array(*(F.struct(F.lit(a).alias("true"), F.lit(x).alias("seen"), F.lit(power(a) - power(x)).cast("long").alias("delta")) for a, x in known))
     rare = (
-        latin.select("word", F.col("n").alias("rare_n"), anagram_hash(F.col("word")).alias("h"))
+        spelt.select("word", F.col("n").alias("rare_n"), anagram_hash(F.col("word")).alias("h"))
         .withColumn("c", F.explode(F.filter(table, lambda c: F.contains(F.col("word"), c["seen"]))))
         .select("word", "rare_n", "c.true", "c.seen", (F.col("h") + F.col("c.delta")).alias("h"))
     )
-    frequent = latin.where((F.col("n") >= least) & ~F.col("word").rlike("[0-9]")).select(F.col("word").alias("right"), F.col("n").alias("right_n"), anagram_hash(F.col("word")).alias("h"))
+    frequent = spelt.where((F.col("n") >= least) & ~F.col("word").rlike("[0-9]")).select(F.col("word").alias("right"), F.col("n").alias("right_n"), anagram_hash(F.col("word")).alias("h"))
     w, x, a = F.col("word"), F.col("seen"), F.col("true")
     places = F.filter(
         F.sequence(F.lit(1), F.greatest(F.length(w) - F.length(x) + 1, F.lit(1))),
@@ -250,7 +281,7 @@ def evidence(blocks: DataFrame, chunks: DataFrame, known_words: int = 20_000) ->
     texts = blocks.where(F.col("text").isNotNull() & F.col("block_type").isin(*RUNNING, "list_item"))
     counts = texts.select("text").mapInPandas(_count_words, COUNTS).groupBy("word", "kind").agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
     words = counts.where("kind = 'word'").select("word", "n")
-    fixes = corrections(words).persist(StorageLevel.MEMORY_AND_DISK)
+    fixes = corrections(words, confusions=learnt_confusions(words)).persist(StorageLevel.MEMORY_AND_DISK)
     # at most two million words have such a share of all; eight tasks then send known_words each
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = words.where(F.col("n") * 2_000_000 >= total).join(fixes, "word", "left_anti").repartition(8, "word")

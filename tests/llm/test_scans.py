@@ -40,3 +40,14 @@ def test_printed_lines_become_paragraphs():
     assert scans.repair_text("The river\nruns down\nto the sea.\n\nIt ends.", []) == "The river runs down to the sea.\n\nIt ends."
     assert scans.repair_text("These:\n- one\n- two", []) == "These:\n- one\n- two"
     assert scans.repair_text("a = 1\nb = 2", [], running=False) == "a = 1\nb = 2"
+
+
+def test_confusions_are_learnt_from_the_corpus(spark):
+    right = "станция данные машина времена линия страна причина единица величина вершина".split()
+    rows = [(w, 300) for w in right] + [(w.replace("н", "п", 1), 1) for w in right] + [("größe", 90), ("größc", 1), ("walked", 80), ("walker", 60), ("talked", 90), ("talker", 70), ("baker", 50), ("baked", 2)]
+    words = spark.createDataFrame(rows, "word string, n long")
+    learnt = scans.learnt_confusions(words)
+    assert learnt == [("н", "п")]
+    got = {r["word"]: r["right"] for r in scans.corrections(words, confusions=learnt).collect()}
+    assert got == {w.replace("н", "п", 1): w for w in right} | {"größc": "größe"}
+    assert scans.learnt_confusions(words.limit(0)) == []
