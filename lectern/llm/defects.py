@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.lookalikes import fold
 from lectern.llm.reading import language
+from lectern.llm.tasks import spread
 
 DEFECTS = ("empty", "refusal", "copy", "truncated", "language")
 HASHED = 1 << 15
@@ -495,4 +496,4 @@ def defects(calls: DataFrame, most_training: int = 3000, longest_training: int =
         model = Classifier()
         model.dense[DEFECTS.index("empty"), DENSE.index("words_0")] = 1
     sent = calls.sparkSession.sparkContext.broadcast((model.dense, model.hashed, model.threshold))
-    return rows.mapInPandas(_marker(sent), "call_id long, defect string").distinct()
+    return spread(rows).mapInPandas(_marker(sent), "call_id long, defect string").distinct()

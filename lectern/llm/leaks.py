@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.lookalikes import fold
+from lectern.llm.tasks import spread
 
 _WORDS = re.compile(r"[฀-๿⺀-〿぀-ヿ㐀-鿿豈-﫿]|[^\W_฀-๿⺀-〿぀-ヿ㐀-鿿豈-﫿]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -368,7 +369,7 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, block: int
         counted = dict(frequencies(docs, F.broadcast(spark.createDataFrame([(w,) for w in sorted(tested)], "word string"))).collect())
         weight = {w: max(math.log((n + 1) / (1 + counted.get(w, 0))), 1e-3) for w in tested}
         sent = spark.sparkContext.broadcast((some, weight))
-        found.append(docs.mapInPandas(_finder(sent, share, k, window), "doc_id long, item_id long"))
+        found.append(spread(docs).mapInPandas(_finder(sent, share, k, window), "doc_id long, item_id long"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

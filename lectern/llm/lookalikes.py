@@ -29,6 +29,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.tasks import spread
+
 #: Letters of Cyrillic and Greek that look like the Latin letter before them.
 SHARED = {
     "a": "аα", "c": "сϲ", "d": "ԁ", "e": "е", "h": "һ", "i": "іι", "j": "јϳ", "k": "κ", "l": "ӏ", "o": "оο",
@@ -325,7 +327,7 @@ def _accepted(scan: DataFrame) -> DataFrame:
 
 def variants(records: DataFrame) -> DataFrame:
     """field_name, record_id, variant_kind of ``records(field_name, record_id, text)``, each once."""
-    scan = _records(records).mapInPandas(_scan, SCAN).persist(StorageLevel.MEMORY_AND_DISK)
+    scan = spread(_records(records)).mapInPandas(_scan, SCAN).persist(StorageLevel.MEMORY_AND_DISK)
     plain = scan.where(F.col("kind").isin(*KINDS)).select("field_name", "record_id", F.col("kind").alias("variant_kind"))
     return plain.unionByName(_accepted(scan).select("field_name", "record_id", F.lit("lookalike").alias("variant_kind"))).distinct()
 
@@ -339,7 +341,7 @@ def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def unified(records: DataFrame) -> DataFrame:
     """Every record with its text in the one form: field_name, record_id, text."""
     records = _records(records)
-    scan = records.mapInPandas(_scan, SCAN).persist(StorageLevel.MEMORY_AND_DISK)
+    scan = spread(records).mapInPandas(_scan, SCAN).persist(StorageLevel.MEMORY_AND_DISK)
     null = F.lit(None).cast("string")
     rows = records.withColumn("word", null).unionByName(_accepted(scan).withColumn("text", null))
     return rows.groupBy("field_name", "record_id").agg(F.collect_set("text").alias("texts"), F.collect_set("word").alias("words")).mapInPandas(_rewrite, "field_name string, record_id string, text string").distinct()

@@ -22,6 +22,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.tasks import spread
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the public tokenizer splits a text before its merges.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -52,7 +54,7 @@ def _counter(path: str):
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, tokens of the texts that aren't null or empty."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("length(text) > 0").mapInPandas(_counter(tokenizer), "doc_id long, tokens long")
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("length(text) > 0")).mapInPandas(_counter(tokenizer), "doc_id long, tokens long")
 
 
 class Remaining:

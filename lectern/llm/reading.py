@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.lookalikes import fold
+from lectern.llm.tasks import spread
 
 LEVELS = (1, 2, 3, 4, 5)
 #: Words are hashed into so many units; the classes of sentence length follow.
@@ -256,7 +257,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, most_labelled: int =
     """doc_id, reading_level of the English texts of ``documents(doc_id, text)``."""
     model = train(documents, labels, most_labelled)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("length(trim(text)) > 0")
-    return texts.mapInPandas(_assigner(model), "doc_id long, reading_level int").distinct()
+    return spread(texts).mapInPandas(_assigner(model), "doc_id long, reading_level int").distinct()
 
 
 def profile(levels: DataFrame) -> DataFrame:

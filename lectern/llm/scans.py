@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.lookalikes import fold
+from lectern.llm.tasks import spread
 
 #: What is printed and what recognition makes of it.
 CONFUSIONS = [
@@ -279,14 +280,14 @@ def evidence(blocks: DataFrame, chunks: DataFrame, known_words: int = 20_000) ->
     known_words: how many of the most frequent words without a correction the tasks get to skip (a bound of what is sent).
     """
     texts = blocks.where(F.col("text").isNotNull() & F.col("block_type").isin(*RUNNING, "list_item"))
-    counts = texts.select("text").mapInPandas(_count_words, COUNTS).groupBy("word", "kind").agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = spread(texts.select("text")).mapInPandas(_count_words, COUNTS).groupBy("word", "kind").agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
     words = counts.where("kind = 'word'").select("word", "n")
     fixes = corrections(words, confusions=learnt_confusions(words)).persist(StorageLevel.MEMORY_AND_DISK)
     # at most two million words have such a share of all; eight tasks then send known_words each
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = words.where(F.col("n") * 2_000_000 >= total).join(fixes, "word", "left_anti").repartition(8, "word")
     known = frozenset(r["word"] for r in frequent.orderBy(F.desc("n"), "word").limit(known_words).collect())
-    scan = _inputs(blocks, chunks).mapInPandas(_scanner(known), SCAN).persist(StorageLevel.MEMORY_AND_DISK)
+    scan = spread(_inputs(blocks, chunks)).mapInPandas(_scanner(known), SCAN).persist(StorageLevel.MEMORY_AND_DISK)
     where = ["table_name", "record_id", "line_no"]
     none = F.lit(None).cast("string")
 

@@ -183,7 +183,9 @@ def split_pieces(chunks: DataFrame, limits: DataFrame, links: DataFrame | None =
         texts = texts.join(parts, "chunk_id", "left")
     else:
         texts = texts.withColumn("parts", F.lit(None).cast("array<struct<position:int,block_type:string,section:string,head:string>>"))
-    return texts.distinct().mapInPandas(_splitter(todo, whole), PIECES)
+    # by a number of its own, so that few bytes aren't put into one task
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.repartition(tasks, "chunk_id").distinct().mapInPandas(_splitter(todo, whole), PIECES)
 
 
 def oversized(pieces: DataFrame) -> DataFrame:
