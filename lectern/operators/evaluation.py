@@ -153,7 +153,7 @@ def _sums(scores: DataFrame) -> DataFrame:
     The scores are split into ranges, summed by range, and a window sorts each range apart, so no task sorts all of them.
     """
     by = scores.where("score is not null").groupBy("score").agg(F.sum(F.col("positive").cast("long")).alias("pos"), F.count("*").alias("n"))
-    parts = by.repartitionByRange("score").withColumn("part", F.spark_partition_id())
+    parts = by.repartitionByRange("score").withColumn("part", F.spark_partition_id()).persist()
     total = parts.groupBy("part").agg(F.sum("pos").alias("part_pos"), F.sum("n").alias("part_n"), F.max("score").alias("part_top"))
     # a row for each range
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -175,7 +175,7 @@ def best_threshold(scores: DataFrame) -> DataFrame:
 
     threshold, accuracy, kept, positives, rejected, negatives, keeps_everything, baseline; no row where one of the groups is empty.
     """
-    d = _sums(scores).persist()
+    d = _sums(scores)
     cut = F.when(F.col("prev").isNull(), F.col("score") - 1e-9).otherwise((F.col("prev") + F.col("score")) / 2)
     inner = d.select(cut.alias("threshold"), (F.col("all_pos") - F.col("pos_below")).alias("kept"), (F.col("n_below") - F.col("pos_below")).alias("rejected"), "all_pos", "total", F.col("prev").isNull().alias("keeps_everything"))
     above = d.where("score = top").select((F.col("top") + 1e-9).alias("threshold"), F.lit(0).cast("long").alias("kept"), (F.col("total") - F.col("all_pos")).alias("rejected"), "all_pos", "total", F.lit(False).alias("keeps_everything"))
