@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -112,18 +113,32 @@ class SparseTable:
         return int(max(row[a], row[b - (1 << k) + 1])) % self.n
 
 
-def cuts(text: str, max_tokens: int, overlap_tokens: int, blocks: list[tuple[str, str]] | None = None, least: float = 0.5) -> list[tuple[int, int, int]]:
+class Text:
+    """What all limits need to know of a text, found out once."""
+
+    def __init__(self, text: str, blocks: list[tuple[str, str]] | None = None) -> None:
+        self.text, self.blocks = text, blocks
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        #: how many bytes stand before each character
+        self.at = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
+
+    @cached_property
+    def strengths(self) -> np.ndarray:
+        return strengths(self.text, self.blocks)
+
+
+def cuts(text: str, max_tokens: int, overlap_tokens: int, blocks: list[tuple[str, str]] | None = None, least: float = 0.5, known: Text | None = None) -> list[tuple[int, int, int]]:
     """Pieces of a text as (start, end, bytes).  least: share of the limit that a piece fills at least, except the last."""
     if not 0 <= overlap_tokens < max_tokens:
         raise ValueError("the overlap must be smaller than the limit")
     if not text:
         return []
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    at = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
+    known = known or Text(text, blocks)
+    at = known.at
     room, back, n = 4 * max_tokens, 4 * overlap_tokens, len(text)
     if at[n] <= room:
         return [(0, n, int(at[n]))]
-    table = SparseTable(strengths(text, blocks), room + 1)
+    table = SparseTable(known.strengths, room + 1)
     out, start, cut = [], 0, 0
     while True:
         last = int(np.searchsorted(at, at[start] + room, side="right")) - 1
@@ -147,10 +162,11 @@ def _splitter(limits: list[tuple[str, int, int]], whole: bool):
                 if not text:
                     continue
                 blocks = None if parts is None else paragraphs(text, [(p["block_type"], p["section"], p["head"]) for p in parts])
-                size = len(text.encode("utf-8", "surrogatepass"))
+                known = Text(text, blocks)
+                size = int(known.at[-1])
                 for name, most, overlap in limits:
                     if size > 4 * most or whole:
-                        for k, (s, e, n) in enumerate(cuts(text, most, overlap, blocks)):
+                        for k, (s, e, n) in enumerate(cuts(text, most, overlap, known=known)):
                             rows.append((name, cid, k, s, e, token_estimate(n), text[s:e]))
             yield pd.DataFrame(rows, columns=["limit_name", "chunk_id", "piece_no", "start_char", "end_char", "token_estimate", "text"]).astype({"piece_no": "int32", "start_char": "int32", "end_char": "int32", "token_estimate": "int32"})
 
