@@ -42,7 +42,7 @@ def vector_topk(t):
 @query(f"""select query_id, vec_id, row_number() over (partition by query_id order by round(s, 9) desc, vec_id) as rank from (
     select q.vec_id as query_id, v.vec_id, {COS} as s from embeddings q join embeddings v on q.label = v.label where q.vec_id % 100 = 0) qualify rank <= 5""")
 def vector_topk_scoped(t):
-    q = F.broadcast(t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label"))
+    q = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
     s = t.embeddings.join(q, "label").select("query_id", "vec_id", retrieval.cosine(F.col("q"), F.col("embedding")).alias("s"))
     w = Window.partitionBy("query_id").orderBy(F.round("s", 9).desc(), "vec_id")
     return s.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("query_id", "vec_id", "rank")
