@@ -1,6 +1,6 @@
 """Sentence boundaries across languages and scripts (problem 1).
 
-Method: document-centred disambiguation.  A period after a short token is ambiguous.  It is decided
+Method: document-centred disambiguation.  A period after a token is ambiguous.  It is decided
 from the *unambiguous* occurrences of the token and of the word after it:
 
 * a token followed by a period and then by a lower-case word, digit or comma is an abbreviation there;
@@ -8,7 +8,7 @@ from the *unambiguous* occurrences of the token and of the word after it:
   a sentence is a proper name.
 
 Evidence of the same document counts first, evidence of the whole corpus is the fallback.  How often a document
-has a token without its period is counted in those of its texts that have it with one.  Terminators
+has a token with and without its period is counted in all of its texts.  Terminators
 depend on the script: the danda ends Devanagari sentences and a period does not, ``;`` ends a Greek
 question, a space ends a Thai or Lao unit, full-width marks end CJK sentences.
 
@@ -22,6 +22,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
+from itertools import islice
 
 import pandas as pd
 from pyspark import StorageLevel
@@ -63,26 +65,49 @@ _ALL_WORDS = re.compile(r"[^\W\d_]+")
 
 
 
+def _part(s: str, p: int) -> tuple[int, bool]:
+    """Where the letters before place p start, and whether the token goes on before them: of "e.g" the "g" does; of "end.Dr",
+    where a blank is missing, "Dr" doesn't."""
+    j = p
+    while j and s[j - 1].isalpha():
+        j -= 1
+    k = j
+    while k and s[k - 1] == ".":
+        k -= 1
+    return j, k < j < p and s[k - 1 : k].isalpha() and not (k == j - 1 and s[j].isupper() and s[k - 1].islower())
+
+
 def _token(s: str, p: int) -> str:
-    """The token that ends at place p, with its inner periods; of "end.Dr", where a blank is missing, only "Dr"."""
-    j, least = p, max(0, p - 16)
-    while j > least and (s[j - 1].isalpha() or s[j - 1] == "."):
+    """The token that ends at place p, with its inner periods."""
+    j, inner = _part(s, p)
+    while inner and j and (s[j - 1].isalpha() or s[j - 1] == "."):
         j -= 1
-    word = s[j:p].lstrip(".")
-    if "." in word:
-        a, _, b = word.rpartition(".")
-        if b[:1].isupper() and a[-1:].islower():
-            return b
-    return word
+    return s[j:p].lstrip(".")
+
+
+def _dots(s: str) -> Iterator[tuple[str, int]]:
+    """Each token that has a period, and the place after that period.  Within a longer token only its first part is given,
+    so that a chain of many periods takes no longer than its length."""
+    p = s.find(".")
+    while p >= 0:
+        q = p + 1
+        if s[p - 1 : p].isalpha():
+            j, inner = _part(s, p)
+            if not inner:
+                yield s[j:p], q
+            elif not (s[q : q + 1].isalpha() or s[q : q + 1] == "."):
+                yield _token(s, p), q
+        p = s.find(".", q)
 
 
 SCAN = "field_name string, record_id long, doc string, word string, kind string, next string, n long"
+SHARES = "doc string, word string, dot long, n long"
 UNITS = "field_name string, record_id long, start_char int, end_char int"
 
 
 def clean(text: str) -> tuple[str, list[int] | None]:
     """``text`` without characters of no width and with plain blanks; the place of each character, if any went."""
-    if not _ODD.search(text):
+    if text.isascii() or not _ODD.search(text):
         return text, None
     text = text.translate(_SAME_LENGTH)
     if not _DROP.search(text):
@@ -210,15 +235,17 @@ def _ends(s: str, p: int, q: int, e: int, g: int, run: str, opener: int, start:
         return not lower and (gap or upper or letter)
     if "\u0900" <= before <= "\u097f":
         return False
-    w = _token(s, p)
     if not gap:
         if e > q:
             return upper
+        j, inner = _part(s, p)
+        w = s[j:p]
         if nxt.isupper() and (opened or s[g + 1 : g + 2].islower() or s[g + 1 : g + 2].isspace()):
-            return ((len(w) > 1 or w.islower()) and "." not in w and w.lower() not in SEEDS or before.isdigit() or before in _CLOSE) and not before.isupper()
-        return letter and not lower and not nxt.isupper() and len(w) > 1
+            return ((len(w) > 1 or w.islower()) and not inner and w.lower() not in SEEDS or before.isdigit() or before in _CLOSE) and not before.isupper()
+        return letter and not lower and not nxt.isupper() and (inner or len(w) > 1)
     if lower:
         return False
+    w = _token(s, p)
     if nxt.isdigit():
         if before.isdigit() and _LIST_ONLY.match(s[start:p]):
             return False
@@ -281,27 +308,21 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         docs.clear(), corpus.clear(), words.clear()
         return pd.DataFrame(rows, columns=columns).astype({"record_id": "Int64"})
 
+    def count(doc: str | None, word: str, kind: str) -> None:
+        corpus[word, kind] += 1
+        if doc is not None:
+            docs[doc, word, kind] += 1
+
     for b in batches:
         sites = []
         for f, i, doc, text in zip(b["field_name"], b["record_id"], b["doc"], b["text"]):
             if not text:
                 continue
             s = clean(text)[0]
-            found = _ALL_WORDS.findall(s)
-            words.update(found)
-            p = s.find(".")
+            words.update(_ALL_WORDS.findall(s))
             seen = set()
-            dotted: dict[str, int] = {}
-            while p >= 0:
-                w = _token(s, p)
-                q = p + 1
-                p = s.find(".", q)
-                if not w or len(w) > 15 or len(w) > 6 and "." not in w:
-                    continue
+            for w, q in _dots(s):
                 corpus[w, "dot"] += 1
-                if doc is not None:
-                    docs[doc, w, "dot"] += 1
-                    dotted[w] = dotted.get(w, 0) + 1
                 c = s[q : q + 1]
                 if not c or c == "\n":
                     corpus[w, "eol"] += 1
@@ -309,11 +330,9 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if c == " ":
                     c = s[q + 1 : q + 2]
                     if c.islower() and not _mixed(_WORD_AT.match(s, q + 1).group()) or c.isdigit() and not _NUMBERED.match(s, q + 1):
-                        corpus[w, "abbr"] += 1
-                        docs[doc, w, "abbr"] += 1
+                        count(doc, w, "abbr")
                 elif c in ",;:":
-                    corpus[w, "abbr"] += 1
-                    docs[doc, w, "abbr"] += 1
+                    count(doc, w, "abbr")
                 if m := _NEXT.match(s, q):
                     nxt = m.group(1)
                     if nxt[0].isdigit():
@@ -323,60 +342,97 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if (w, nxt) not in seen:
                         seen.add((w, nxt))
                         sites.append((f, i, doc, w, "site", nxt, 1))
-            # how often the token stands without a period counts in the texts that have it with one
-            for w, n in dotted.items():
-                if (bare := found.count(w) - n) > 0:
-                    docs[doc, w, "bare"] += bare
             for m in _CAPITAL.finditer(s):
                 if s[m.start() - 1 : m.start()].isalpha():
-                    docs[doc, m.group(1), "mid"] += 1
-                    corpus[m.group(1), "mid"] += 1
+                    count(doc, m.group(1), "mid")
         if sites:
             yield pd.DataFrame(sites, columns=columns).astype({"record_id": "Int64"})
-        if len(docs) > 200_000 or len(words) > 200_000:
+        if len(docs) > 200_000 or len(words) > 200_000 or len(corpus) > 200_000:
+            yield flush()
+    yield flush()
+
+
+def _count_shares(wanted: frozenset[str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each document has the wanted words with a period, and at all, summed up per task."""
+    dots: Counter = Counter()
+    total: Counter = Counter()
+
+    def flush() -> pd.DataFrame:
+        rows = [(d, w, dots[d, w], n) for (d, w), n in total.items()]
+        dots.clear(), total.clear()
+        return pd.DataFrame(rows, columns=["doc", "word", "dot", "n"])
+
+    for b in batches:
+        for doc, text in zip(b["doc"], b["text"]):
+            s = clean(text)[0]
+            words = _ALL_WORDS.findall(s)
+            found = [w for w in words if w in wanted]
+            for w in found:
+                total[doc, w] += 1
+            # numerals such as the half are no letters, so a token after one isn't among the words
+            if found or not "".join(words).isalpha():
+                for w, _ in _dots(s):
+                    if w in wanted:
+                        dots[doc, w] += 1
+                        if w not in found:
+                            total[doc, w] += 1
+        if len(total) > 200_000:
             yield flush()
     yield flush()
 
 
+def _shares(records: DataFrame, sites: DataFrame, block: int) -> DataFrame:
+    """doc, word, dot, n: the counts in all texts of a document, of the words of the sites; a word with inner periods never stands without its own."""
+    words = sites.where("doc is not null and not contains(word, '.')").select("word").distinct().toLocalIterator()
+    counts = records.sparkSession.createDataFrame([], SHARES)
+    texts = records.where("doc is not null").select("doc", "text")
+    while some := frozenset(r["word"] for r in islice(words, block)):
+        counts = counts.unionByName(texts.mapInPandas(partial(_count_shares, some), SHARES))
+    return counts.groupBy("doc", "word").agg(F.sum("dot").alias("dot"), F.sum("n").alias("n"))
+
+
 def _segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         fs, ids, starts, ends = [], [], [], []
         for f, i, texts, keep in zip(b["field_name"], b["record_id"], b["texts"], b["keep"]):
             k = frozenset(keep)
-            for t in texts:
-                for a, z in units(t, k):
-                    fs.append(f), ids.append(i), starts.append(a), ends.append(z)
+            # two texts of one record can have a unit in common
+            for a, z in units(texts[0], k) if len(texts) == 1 else {u for t in texts for u in units(t, k)}:
+                fs.append(f), ids.append(i), starts.append(a), ends.append(z)
         yield pd.DataFrame({"field_name": fs, "record_id": pd.Series(ids, dtype="int64"), "start_char": pd.Series(starts, dtype="int32"), "end_char": pd.Series(ends, dtype="int32")})
 
 
-def sentence_units(records: DataFrame, min_ratio: float = 0.3) -> DataFrame:
+def sentence_units(records: DataFrame, min_ratio: float = 0.3, block: int = 200_000) -> DataFrame:
     """Units of ``records(field_name, record_id, doc, text)``: field_name, record_id, start_char, end_char.
 
     min_ratio: share of a token's occurrences that must be followed by a period for the corpus to call it an
     abbreviation.  Counts cover all rows.  Rows whose field, id and text are equal give their units once.
+    block: how many words are sent to the tasks at a time when their shares by document are counted; each block is a pass.
     """
     records = records.select("field_name", F.col("record_id").cast("long").alias("record_id"), F.col("doc").cast("string").alias("doc"), "text").where(F.col("text").isNotNull())
+    texts = spread(records)
     # small beside the texts, and read several times
-    scan = spread(records).mapInPandas(_scan, SCAN).persist(StorageLevel.MEMORY_AND_DISK)
+    scan = texts.mapInPandas(_scan, SCAN).persist(StorageLevel.MEMORY_AND_DISK)
 
     def of(*kinds: str) -> F.Column:
         return F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), F.col("n"))), F.lit(0))
 
     evidence = scan.where("kind <> 'site'")
     corpus = evidence.where("doc is null").groupBy("word").agg(*(of(k).alias(k) for k in ("all", "dot", "abbr", "eol", "mid"))).persist(StorageLevel.MEMORY_AND_DISK)
-    docs = evidence.where("doc is not null").groupBy("doc", "word").agg(of("dot", "bare").alias("all"), *(of(k).alias(k) for k in ("dot", "abbr", "mid"))).persist(StorageLevel.MEMORY_AND_DISK)
+    docs = evidence.where("doc is not null").groupBy("doc", "word").agg(*(of(k).alias(k) for k in ("abbr", "mid"))).persist(StorageLevel.MEMORY_AND_DISK)
 
     # a dotted token such as "e.g" is never among the words, so "all" can be less than "dot"
     seed = F.lower("word").isin(*SEEDS)
     # a title such as "Dra." always stands with its period and never at the end of a line
     title = (F.col("dot") >= 5) & (F.col("dot") >= 0.9 * F.col("all")) & (F.col("eol") == 0)
-    abbreviations = corpus.where((F.col("dot") > 0) & (F.col("dot") >= min_ratio * F.col("all")) & ((F.col("abbr") > 0) | seed | title | (F.length("word") == 1) & (F.col("word") != F.lower("word")))).select("word")
+    there = (F.col("dot") >= min_ratio * F.col("all")) & ((F.col("abbr") > 0) | seed | title | (F.length("word") == 1) & (F.col("word") != F.lower("word")))
     cased = corpus.where("`all` > 0 or mid > 0").groupBy(F.lower("word").alias("low")).agg(F.sum(F.when(F.col("word") == F.lower("word"), F.col("all")).otherwise(0)).alias("lower_n"), F.sum("mid").alias("mid_n"))
+    # only tokens that the corpus calls an abbreviation or the document shows as one can be one
+    sites = scan.where("kind = 'site'").select("field_name", "record_id", "doc", "word", "next").join(corpus.where(F.col("dot") > 0).where(there | (F.col("abbr") > 0)).select("word", there.alias("there")), "word")
+    sites = sites.join(docs.where("abbr > 0").select("doc", "word", "abbr"), ["doc", "word"], "left").where("there or abbr > 0").persist(StorageLevel.MEMORY_AND_DISK)
     # the document decides where it shows the token as an abbreviation, or mostly without a period; else the corpus does
-    often = F.col("dot") >= min_ratio * F.col("all")
-    shown = docs.where((F.col("dot") > 0) & ((F.col("abbr") > 0) | ~often)).select("doc", "word", often.alias("here"))
-    sites = scan.where("kind = 'site'").select("field_name", "record_id", "doc", "word", "next").join(shown, ["doc", "word"], "left").join(abbreviations.withColumn("there", F.lit(True)), "word", "left")
-    sites = sites.where(F.coalesce("here", "there", F.lit(False))).drop("here", "there")
+    shares = _shares(texts, sites, block).select("doc", "word", (F.col("dot") >= min_ratio * F.col("n")).alias("often"))
+    sites = sites.join(shares, ["doc", "word"], "left").where(F.coalesce("often", F.lit(True))).drop("there", "abbr", "often")
     names = docs.where("mid > 0").select("doc", F.col("word").alias("next"), F.col("mid").alias("doc_mid"))
     known = sites.withColumn("low", F.lower("next")).join(cased, "low", "left").withColumn("common", F.coalesce(F.col("lower_n") >= F.greatest("mid_n", F.lit(1)), F.lit(False)))
     # a token such as "etc." that common words follow ends sentences: a name after it starts one
@@ -388,4 +444,4 @@ def sentence_units(records: DataFrame, min_ratio: float = 0.3) -> DataFrame:
         .select("field_name", "record_id", F.concat_ws("\t", "word", "next").alias("keep"))
     )
     rows = records.select("field_name", "record_id", "text", F.lit(None).cast("string").alias("keep")).unionByName(kept.withColumn("text", F.lit(None).cast("string")))
-    return rows.groupBy("field_name", "record_id").agg(F.collect_set("text").alias("texts"), F.collect_set("keep").alias("keep")).mapInPandas(_segment, UNITS).distinct()
+    return rows.groupBy("field_name", "record_id").agg(F.collect_set("text").alias("texts"), F.collect_set("keep").alias("keep")).mapInPandas(_segment, UNITS)

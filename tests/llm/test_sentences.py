@@ -1,4 +1,4 @@
-from lectern.llm.sentences import sentence_units, units
+from lectern.llm.sentences import _dots, sentence_units, units
 
 SCHEMA = "field_name string, record_id long, doc string, text string, units string"
 
@@ -66,3 +66,45 @@ def test_the_document_decides_before_the_corpus(spark):
     got = found(spark, rows)
     assert got[1] == ["It is tlk. so, and tlk. here.", "We saw tlk. Velorf there."]
     assert got[3] == ["Ask the tlk.", "Velorf left."]
+
+
+def test_a_document_counts_a_token_in_all_its_texts(spark):
+    rows = [
+        ("a", 1, "d1", "It is tlk. so, and tlk. here. We saw tlk. Velorf there."),
+        ("a", 2, "d2", "Ask the tlk. Velorf left."),
+        ("a", 3, "d2", "The tlk is old. A tlk was new. Any tlk fits."),
+        ("a", 4, None, "Ask the tlk. Velorf left."),
+    ]
+    got = found(spark, rows)
+    assert got[1] == ["It is tlk. so, and tlk. here.", "We saw tlk. Velorf there."]
+    assert got[2] == ["Ask the tlk.", "Velorf left."]
+    assert got[4] == ["Ask the tlk. Velorf left."]
+
+
+def test_abbreviations_of_any_length(spark):
+    rows = [
+        ("a", 1, "d1", "Dort war Hauptm. und Arzt. Dann kam Hauptm. Weber an."),
+        ("a", 2, "d2", "Ein Regierungsbaumstr. aus Ulm. Dann kam Regierungsbaumstr. Weber an."),
+        ("a", 3, "d3", "So war Oberreg.Baumeistr. hier. Dann kam Oberregier.rat.baum. Weber an. Es war Oberregier.rat.baum. da."),
+    ]
+    got = found(spark, rows)
+    assert got[1] == ["Dort war Hauptm. und Arzt.", "Dann kam Hauptm. Weber an."]
+    assert got[2] == ["Ein Regierungsbaumstr. aus Ulm.", "Dann kam Regierungsbaumstr. Weber an."]
+    assert got[3][-2:] == ["Dann kam Oberregier.rat.baum. Weber an.", "Es war Oberregier.rat.baum. da."]
+
+
+def test_shares_are_the_same_whatever_the_block(spark):
+    rows = [
+        ("a", 1, "d1", "It is tlk. so, and tlk. here. We saw tlk. Velorf there."),
+        ("a", 2, "d1", "It is grk. so, and grk. here. We saw grk. Velorf there."),
+        ("a", 3, "d2", "Ask the tlk. Velorf left. Ask the grk. Velorf left."),
+        ("a", 4, "d2", "The tlk is old. A tlk was new. Any tlk fits. My grk and a grk or the grk fit."),
+    ]
+    df = spark.createDataFrame([(*r, None) for r in rows], SCHEMA)
+    one, all_ = (sorted(sentence_units(df, block=n).collect()) for n in (1, 200_000))
+    assert one == all_ and sum(r["record_id"] == 3 for r in one) == 4
+
+
+def test_chains_of_periods_end_in_time():
+    assert [t for t, _ in _dots("e.g. x end.Dr. Xy ...Then. U.S.A. b wait...")] == ["e", "e.g", "end", "Dr", "Then", "U", "U.S.A", "wait"]
+    assert len(list(_dots("a." * 100_000 + " B"))) == 2 and len(units("a." * 100_000 + " B")) == 2
