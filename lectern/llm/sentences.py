@@ -68,6 +68,9 @@ _ALL_WORDS = re.compile(r"[^\W\d_]+")
 def _part(s: str, p: int) -> tuple[int, bool]:
     """Where the letters before place p start, and whether the token goes on before them: of "e.g" the "g" does; of "end.Dr",
     where a blank is missing, "Dr" doesn't."""
+    blank = s.rfind(" ", max(0, p - 24), p)
+    if blank >= 0 and s[blank + 1 : p].isalpha():  # most tokens
+        return blank + 1, False
     j = p
     while j and s[j - 1].isalpha():
         j -= 1
@@ -191,7 +194,7 @@ def _line(s: str, keep: frozenset[str]) -> list[int]:
         if _ends(s, p, q, e, g, run, opener, start, keep):
             ends.append(e)
             start = g
-    if _THAI_GAP.search(s):
+    if not s.isascii() and _THAI_GAP.search(s):
         for m in _THAI_GAP.finditer(s):
             if not any(a < m.start() < b for a, b in spans):
                 ends.append(m.start())
@@ -366,11 +369,11 @@ def _count_shares(wanted: frozenset[str], batches: Iterator[pd.DataFrame]) -> It
         for doc, text in zip(b["doc"], b["text"]):
             s = clean(text)[0]
             words = _ALL_WORDS.findall(s)
-            found = [w for w in words if w in wanted]
+            found = [] if wanted.isdisjoint(words) else [w for w in words if w in wanted]
             for w in found:
                 total[doc, w] += 1
             # numerals such as the half are no letters, so a token after one isn't among the words
-            if found or not "".join(words).isalpha():
+            if found or not (s.isascii() or "".join(words).isalpha()):
                 for w, _ in _dots(s):
                     if w in wanted:
                         dots[doc, w] += 1
