@@ -426,8 +426,9 @@ def sentence_units(records: DataFrame, min_ratio: float = 0.3, block: int = 200_
 
     # a dotted token such as "e.g" is never among the words, so "all" can be less than "dot"
     seed = F.lower("word").isin(*SEEDS)
-    # a title such as "Dra." always stands with its period and never at the end of a line
-    title = (F.col("dot") >= 5) & (F.col("dot") >= 0.9 * F.col("all")) & (F.col("eol") == 0)
+    # a title such as "Dra." always stands with its period and never at the end of a line; of a longer word that is no evidence,
+    # as rare spellings end sentences five times by chance: it must be shown as an abbreviation
+    title = ((F.length("word") <= 6) | F.contains("word", F.lit("."))) & (F.col("dot") >= 5) & (F.col("dot") >= 0.9 * F.col("all")) & (F.col("eol") == 0)
     there = (F.col("dot") >= min_ratio * F.col("all")) & ((F.col("abbr") > 0) | seed | title | (F.length("word") == 1) & (F.col("word") != F.lower("word")))
     cased = corpus.where("`all` > 0 or mid > 0").groupBy(F.lower("word").alias("low")).agg(F.sum(F.when(F.col("word") == F.lower("word"), F.col("all")).otherwise(0)).alias("lower_n"), F.sum("mid").alias("mid_n"))
     # only tokens that the corpus calls an abbreviation or the document shows as one can be one
