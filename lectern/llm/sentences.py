@@ -42,11 +42,11 @@ SEEDS = frozenset(
     "env ex ej sr sra m aprox núm проф т г стр рис π.χ κ.λπ u.s a.m p.m".split()
 )
 
-_ODD = re.compile(f"[{INVISIBLE}̀-ͯ   -   　！-～]")
 _DROP = re.compile(f"[{INVISIBLE}̀-ͯ]")
 _SAME_LENGTH = {0xFF01 + i: 0x21 + i for i in range(94)} | {c: 32 for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F)}
 for _c in "！？，：；（）":  # these stay: they are the CJK forms
     _SAME_LENGTH.pop(ord(_c), None)
+_ODD = re.compile(f"[{INVISIBLE}̀-ͯ{''.join(map(chr, _SAME_LENGTH))}]")
 
 _HARD = "。！？｡।॥؟۔።"
 _TERM = re.compile(r"[.!?…。！？｡।॥؟۔።;;]+")
@@ -58,6 +58,7 @@ _CAPITAL = re.compile(" ([A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫЀ-Я][^\\W\\d_]*)")
 _CITE = re.compile(r"(?:\[\d[\d,;\s–-]*\]|[⁰¹²³⁴-⁹])+")
 _WORD_AT = re.compile(r"[^\W\d_]+")
 _NUMBERED = re.compile(r"\d{1,3}[.)]\s+[^\W\d_]")
+_THAI = re.compile("[ก-๛ກ-ໟ]")
 _THAI_GAP = re.compile(r"(?<=[ก-๛ກ-ໟ])[^\S\n]+(?=[ก-ฮะ-ๅກ-ຮະ-ໄ])")
 _LIST_ONLY = re.compile(r"\s*(?:\w+\s+)?\d{1,3}$")
 _SPEECH = re.compile(r"と|って|[^。！？，\n]{0,6}[说道问喊答叫讲]")
@@ -103,8 +104,8 @@ def _dots(s: str) -> Iterator[tuple[str, int]]:
         p = s.find(".", q)
 
 
-SCAN = "field_name string, record_id long, doc string, word string, kind string, next string, n long"
-SHARES = "doc string, word string, dot long, n long"
+SCAN = "doc string, word string, kind string, n long"
+LOOK = "field_name string, record_id long, doc string, word string, next string, dot long, n long"
 UNITS = "field_name string, record_id long, start_char int, end_char int"
 
 
@@ -179,22 +180,25 @@ def _line(s: str, keep: frozenset[str]) -> list[int]:
             if s[q : spans[k][1]].strip(" ") and not all(c in _CLOSE for c in s[q : spans[k][1]].strip(" ")):
                 continue
             opener, e = spans[k][0], spans[k][1] + 1
-        if (c := _CITE.match(s, e)):
-            e = c.end()
-        while e < n and s[e] in _CLOSE and not any(a == e for a, _ in spans[k : k + 2]):
-            e += 1
-        if (c := _CITE.match(s, e)):
-            e = c.end()
+        if e < n and s[e] != " ":
+            if (c := _CITE.match(s, e)):
+                e = c.end()
+            while e < n and s[e] in _CLOSE and not any(a == e for a, _ in spans[k : k + 2]):
+                e += 1
+            if (c := _CITE.match(s, e)):
+                e = c.end()
         done = e
         g = e
         while g < n and s[g].isspace():
             g += 1
         if g >= n:
             break
-        if _ends(s, p, q, e, g, run, opener, start, keep):
+        # most periods stand between a word and a capital after a blank; where none is kept, they end a unit
+        plain = run == "." and not keep and opener < 0 and g > e and s[g].isupper() and p > 1 and s[p - 2 : p].isalpha() and not "\u0900" <= s[p - 1] <= "\u097f"
+        if plain or _ends(s, p, q, e, g, run, opener, start, keep):
             ends.append(e)
             start = g
-    if not s.isascii() and _THAI_GAP.search(s):
+    if not s.isascii() and _THAI.search(s):
         for m in _THAI_GAP.finditer(s):
             if not any(a < m.start() < b for a, b in spans):
                 ends.append(m.start())
@@ -297,112 +301,162 @@ def units(text: str | None, keep: frozenset[str] = frozenset()) -> list[tuple[in
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One pass over the texts: counts by document (abbreviations, names), counts of the corpus (doc null), summed
-    up per task, and the ambiguous periods of each record (kind ``site``)."""
+    """One pass over the texts: counts by document (abbreviations, names) and counts of the corpus (doc null), summed up per task."""
     docs: Counter = Counter()
-    corpus: Counter = Counter()
-    words: Counter = Counter()
-    columns = ["field_name", "record_id", "doc", "word", "kind", "next", "n"]
+    corpus: dict[str, Counter] = {k: Counter() for k in ("all", "dot", "abbr", "eol", "mid")}
+    words, dot, abbr, eol, mid = corpus.values()
 
     def flush() -> pd.DataFrame:
-        for w, n in words.items():
-            corpus[w, "all"] += n
-        rows = [(None, None, d, w, k, None, n) for (d, w, k), n in docs.items()] + [(None, None, None, w, k, None, n) for (w, k), n in corpus.items()]
-        docs.clear(), corpus.clear(), words.clear()
-        return pd.DataFrame(rows, columns=columns).astype({"record_id": "Int64"})
-
-    def count(doc: str | None, word: str, kind: str) -> None:
-        corpus[word, kind] += 1
-        if doc is not None:
-            docs[doc, word, kind] += 1
+        rows = [(d, w, k, n) for (d, w, k), n in docs.items()] + [(None, w, k, n) for k, c in corpus.items() for w, n in c.items()]
+        docs.clear()
+        for c in corpus.values():
+            c.clear()
+        return pd.DataFrame(rows, columns=["doc", "word", "kind", "n"])
 
     for b in batches:
-        sites = []
-        for f, i, doc, text in zip(b["field_name"], b["record_id"], b["doc"], b["text"]):
+        chunks: Counter = Counter()
+        for doc, text in zip(b["doc"], b["text"]):
             if not text:
                 continue
             s = clean(text)[0]
-            words.update(_ALL_WORDS.findall(s))
-            seen = set()
+            chunks.update(s.split())
             for w, q in _dots(s):
-                corpus[w, "dot"] += 1
+                dot[w] += 1
                 c = s[q : q + 1]
                 if not c or c == "\n":
-                    corpus[w, "eol"] += 1
+                    eol[w] += 1
                     continue
                 if c == " ":
                     c = s[q + 1 : q + 2]
-                    if c.islower() and not _mixed(_WORD_AT.match(s, q + 1).group()) or c.isdigit() and not _NUMBERED.match(s, q + 1):
-                        count(doc, w, "abbr")
-                elif c in ",;:":
-                    count(doc, w, "abbr")
-                if m := _NEXT.match(s, q):
-                    nxt = m.group(1)
-                    if nxt[0].isdigit():
-                        nxt = "#"
-                    elif not (nxt[0].isupper() or _mixed(nxt)):
+                    if not (c.islower() and not _mixed(_WORD_AT.match(s, q + 1).group()) or c.isdigit() and not _NUMBERED.match(s, q + 1)):
                         continue
-                    if (w, nxt) not in seen:
-                        seen.add((w, nxt))
-                        sites.append((f, i, doc, w, "site", nxt, 1))
+                elif c not in ",;:":
+                    continue
+                abbr[w] += 1
+                if doc is not None:
+                    docs[doc, w, "abbr"] += 1
             for m in _CAPITAL.finditer(s):
                 if s[m.start() - 1 : m.start()].isalpha():
-                    count(doc, m.group(1), "mid")
-        if sites:
-            yield pd.DataFrame(sites, columns=columns).astype({"record_id": "Int64"})
-        if len(docs) > 200_000 or len(words) > 200_000 or len(corpus) > 200_000:
+                    mid[w := m.group(1)] += 1
+                    if doc is not None:
+                        docs[doc, w, "mid"] += 1
+        # no word goes over a blank: what stands between two is taken apart once a batch, however often it occurs
+        for c, n in chunks.items():
+            if c.isalpha():
+                words[c] += n
+            else:
+                for w in _ALL_WORDS.findall(c):
+                    words[w] += n
+        if len(docs) > 200_000 or sum(map(len, corpus.values())) > 400_000:
             yield flush()
     yield flush()
 
 
-def _count_shares(wanted: frozenset[str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """How often each document has the wanted words with a period, and at all, summed up per task."""
+def _look(wanted: frozenset[str], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the wanted tokens: the ambiguous periods of each record (next: the word after one), and how often each document has
+    one with a period, and at all, summed up per task (next null).  A token with inner periods never stands without its own."""
     dots: Counter = Counter()
     total: Counter = Counter()
+    columns = ["field_name", "record_id", "doc", "word", "next", "dot", "n"]
 
     def flush() -> pd.DataFrame:
-        rows = [(d, w, dots[d, w], n) for (d, w), n in total.items()]
+        rows = [(None, None, d, w, None, dots[d, w], n) for (d, w), n in total.items()]
         dots.clear(), total.clear()
-        return pd.DataFrame(rows, columns=["doc", "word", "dot", "n"])
+        return pd.DataFrame(rows, columns=columns).astype({"record_id": "Int64"})
 
     for b in batches:
-        for doc, text in zip(b["doc"], b["text"]):
+        sites = []
+        # what stands between two blanks, taken apart once a batch, however often it occurs; hot: with wanted tokens
+        known: set[str] = set()
+        hot: dict[str, tuple[list[str], list[str]]] = {}
+        for f, i, doc, text in zip(b["field_name"], b["record_id"], b["doc"], b["text"]):
             s = clean(text)[0]
-            words = _ALL_WORDS.findall(s)
-            found = [] if wanted.isdisjoint(words) else [w for w in words if w in wanted]
-            for w in found:
-                total[doc, w] += 1
-            # numerals such as the half are no letters, so a token after one isn't among the words
-            if found or not (s.isascii() or "".join(words).isalpha()):
-                for w, _ in _dots(s):
-                    if w in wanted:
-                        dots[doc, w] += 1
-                        if w not in found:
+            chunks = s.split()
+            if not known.issuperset(chunks):
+                for c in {*chunks} - known:
+                    found = [] if wanted.isdisjoint(words := _ALL_WORDS.findall(c)) else [w for w in words if w in wanted]
+                    dotted = [w for w, _ in _dots(c) if w in wanted] if "." in c else []
+                    if found or dotted:
+                        hot[c] = found, dotted
+                    known.add(c)
+            if hot.keys().isdisjoint(chunks):
+                continue
+            periods = False
+            for c in chunks:
+                if c in hot:
+                    found, dotted = hot[c]
+                    periods |= bool(dotted)
+                    if doc is not None:
+                        for w in found:
                             total[doc, w] += 1
+                        for w in dotted:
+                            if "." not in w:
+                                dots[doc, w] += 1
+                                # numerals such as the half are no letters, so a token after one isn't among the words
+                                if w not in found:
+                                    total[doc, w] += 1
+            if not periods:
+                continue
+            seen = set()
+            for w, q in _dots(s):
+                # a line feed ends a unit whatever stands before it
+                if w in wanted and s[q : q + 1] != "\n" and (m := _NEXT.match(s, q)):
+                    nxt = m.group(1)
+                    if nxt[0].isdigit():
+                        nxt = "#"
+                    elif not (nxt[0].isupper() or _mixed(nxt)):
+                        continue
+                    if (w, nxt) not in seen:
+                        seen.add((w, nxt))
+                        sites.append((f, i, doc, w, nxt, 0, 0))
+        if sites:
+            yield pd.DataFrame(sites, columns=columns).astype({"record_id": "Int64"})
         if len(total) > 200_000:
             yield flush()
     yield flush()
 
 
-def _shares(records: DataFrame, sites: DataFrame, block: int) -> DataFrame:
-    """doc, word, dot, n: the counts in all texts of a document, of the words of the sites; a word with inner periods never stands without its own."""
-    words = sites.where("doc is not null and not contains(word, '.')").select("word").distinct().toLocalIterator()
-    counts = records.sparkSession.createDataFrame([], SHARES)
-    texts = records.where("doc is not null").select("doc", "text")
+def _looked(texts: DataFrame, possible: DataFrame, block: int) -> DataFrame:
+    """What ``_look`` finds of the possible abbreviations, which are sent to the tasks in blocks."""
+    words = possible.select("word").distinct().toLocalIterator()
+    found = texts.sparkSession.createDataFrame([], LOOK)
     while some := frozenset(r["word"] for r in islice(words, block)):
-        counts = counts.unionByName(texts.mapInPandas(partial(_count_shares, some), SHARES))
-    return counts.groupBy("doc", "word").agg(F.sum("dot").alias("dot"), F.sum("n").alias("n"))
+        found = found.unionByName(texts.mapInPandas(partial(_look, some), LOOK))
+    return found
 
 
 def _segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The units of rows that are sorted by record; a row has a text, or a period of the record that ends no sentence."""
+    key, texts, keep = None, set(), set()
+    fs, ids, starts, ends = [], [], [], []
+
+    def finish() -> None:
+        k = frozenset(keep)
+        # two texts of one record can have a unit in common
+        found = units(*texts, k) if len(texts) == 1 else {u for t in texts for u in units(t, k)}
+        fs.extend([key[0]] * len(found)), ids.extend([key[1]] * len(found))
+        starts.extend([a for a, _ in found]), ends.extend([z for _, z in found])
+        texts.clear(), keep.clear()
+
+    def made() -> pd.DataFrame:
+        out = pd.DataFrame({"field_name": fs, "record_id": pd.Series(ids, dtype="int64"), "start_char": pd.Series(starts, dtype="int32"), "end_char": pd.Series(ends, dtype="int32")})
+        fs.clear(), ids.clear(), starts.clear(), ends.clear()
+        return out
+
     for b in batches:
-        fs, ids, starts, ends = [], [], [], []
-        for f, i, texts, keep in zip(b["field_name"], b["record_id"], b["texts"], b["keep"]):
-            k = frozenset(keep)
-            # two texts of one record can have a unit in common
-            for a, z in units(texts[0], k) if len(texts) == 1 else {u for t in texts for u in units(t, k)}:
-                fs.append(f), ids.append(i), starts.append(a), ends.append(z)
-        yield pd.DataFrame({"field_name": fs, "record_id": pd.Series(ids, dtype="int64"), "start_char": pd.Series(starts, dtype="int32"), "end_char": pd.Series(ends, dtype="int32")})
+        for f, i, text, period in zip(b["field_name"], b["record_id"], b["text"], b["keep"]):
+            if (f, i) != key:
+                if key:
+                    finish()
+                key = f, i
+            if text is not None:
+                texts.add(text)
+            else:
+                keep.add(period)
+        yield made()
+    if key:
+        finish()
+    yield made()
 
 
 def sentence_units(records: DataFrame, min_ratio: float = 0.3, block: int = 200_000) -> DataFrame:
@@ -410,19 +464,18 @@ def sentence_units(records: DataFrame, min_ratio: float = 0.3, block: int = 200_
 
     min_ratio: share of a token's occurrences that must be followed by a period for the corpus to call it an
     abbreviation.  Counts cover all rows.  Rows whose field, id and text are equal give their units once.
-    block: how many words are sent to the tasks at a time when their shares by document are counted; each block is a pass.
+    block: how many possible abbreviations are sent to the tasks at a time when their periods are looked for; each block is a pass.
     """
     records = records.select("field_name", F.col("record_id").cast("long").alias("record_id"), F.col("doc").cast("string").alias("doc"), "text").where(F.col("text").isNotNull())
     texts = spread(records)
-    # small beside the texts, and read several times
+    # small beside the texts, and read twice
     scan = texts.mapInPandas(_scan, SCAN).persist(StorageLevel.MEMORY_AND_DISK)
 
     def of(*kinds: str) -> F.Column:
         return F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), F.col("n"))), F.lit(0))
 
-    evidence = scan.where("kind <> 'site'")
-    corpus = evidence.where("doc is null").groupBy("word").agg(*(of(k).alias(k) for k in ("all", "dot", "abbr", "eol", "mid"))).persist(StorageLevel.MEMORY_AND_DISK)
-    docs = evidence.where("doc is not null").groupBy("doc", "word").agg(*(of(k).alias(k) for k in ("abbr", "mid"))).persist(StorageLevel.MEMORY_AND_DISK)
+    corpus = scan.where("doc is null").groupBy("word").agg(*(of(k).alias(k) for k in ("all", "dot", "abbr", "eol", "mid"))).persist(StorageLevel.MEMORY_AND_DISK)
+    docs = scan.where("doc is not null").groupBy("doc", "word").agg(*(of(k).alias(k) for k in ("abbr", "mid"))).persist(StorageLevel.MEMORY_AND_DISK)
 
     # a dotted token such as "e.g" is never among the words, so "all" can be less than "dot"
     seed = F.lower("word").isin(*SEEDS)
@@ -432,11 +485,13 @@ def sentence_units(records: DataFrame, min_ratio: float = 0.3, block: int = 200_
     there = (F.col("dot") >= min_ratio * F.col("all")) & ((F.col("abbr") > 0) | seed | title | (F.length("word") == 1) & (F.col("word") != F.lower("word")))
     cased = corpus.where("`all` > 0 or mid > 0").groupBy(F.lower("word").alias("low")).agg(F.sum(F.when(F.col("word") == F.lower("word"), F.col("all")).otherwise(0)).alias("lower_n"), F.sum("mid").alias("mid_n"))
     # only tokens that the corpus calls an abbreviation or the document shows as one can be one
-    sites = scan.where("kind = 'site'").select("field_name", "record_id", "doc", "word", "next").join(corpus.where(F.col("dot") > 0).where(there | (F.col("abbr") > 0)).select("word", there.alias("there")), "word")
-    sites = sites.join(docs.where("abbr > 0").select("doc", "word", "abbr"), ["doc", "word"], "left").where("there or abbr > 0").persist(StorageLevel.MEMORY_AND_DISK)
+    possible = corpus.where(F.col("dot") > 0).where(there | (F.col("abbr") > 0)).select("word", there.alias("there"))
+    looked = _looked(texts, possible, block).persist(StorageLevel.MEMORY_AND_DISK)
+    sites = looked.where("next is not null").select("field_name", "record_id", "doc", "word", "next").join(possible, "word")
+    sites = sites.join(docs.where("abbr > 0").select("doc", "word", "abbr"), ["doc", "word"], "left").where("there or abbr > 0")
     # the document decides where it shows the token as an abbreviation, or mostly without a period; else the corpus does
-    shares = _shares(texts, sites, block).select("doc", "word", (F.col("dot") >= min_ratio * F.col("n")).alias("often"))
-    sites = sites.join(shares, ["doc", "word"], "left").where(F.coalesce("often", F.lit(True))).drop("there", "abbr", "often")
+    shares = looked.where("next is null").groupBy("doc", "word").agg((F.sum("dot") >= min_ratio * F.sum("n")).alias("often"))
+    sites = sites.join(shares, ["doc", "word"], "left").where(F.coalesce("often", F.lit(True))).drop("there", "abbr", "often").persist(StorageLevel.MEMORY_AND_DISK)
     names = docs.where("mid > 0").select("doc", F.col("word").alias("next"), F.col("mid").alias("doc_mid"))
     known = sites.withColumn("low", F.lower("next")).join(cased, "low", "left").withColumn("common", F.coalesce(F.col("lower_n") >= F.greatest("mid_n", F.lit(1)), F.lit(False)))
     # a token such as "etc." that common words follow ends sentences: a name after it starts one
@@ -448,4 +503,4 @@ def sentence_units(records: DataFrame, min_ratio: float = 0.3, block: int = 200_
         .select("field_name", "record_id", F.concat_ws("\t", "word", "next").alias("keep"))
     )
     rows = records.select("field_name", "record_id", "text", F.lit(None).cast("string").alias("keep")).unionByName(kept.withColumn("text", F.lit(None).cast("string")))
-    return rows.groupBy("field_name", "record_id").agg(F.collect_set("text").alias("texts"), F.collect_set("keep").alias("keep")).mapInPandas(_segment, UNITS)
+    return rows.repartition("field_name", "record_id").sortWithinPartitions("record_id", "field_name").mapInPandas(_segment, UNITS)

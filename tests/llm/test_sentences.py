@@ -1,4 +1,6 @@
-from lectern.llm.sentences import _dots, sentence_units, units
+import pandas as pd
+
+from lectern.llm.sentences import _dots, _look, _scan, _segment, sentence_units, units
 
 SCHEMA = "field_name string, record_id long, doc string, text string, units string"
 
@@ -108,3 +110,35 @@ def test_shares_are_the_same_whatever_the_block(spark):
 def test_chains_of_periods_end_in_time():
     assert [t for t, _ in _dots("e.g. x end.Dr. Xy ...Then. U.S.A. b wait...")] == ["e", "e.g", "end", "Dr", "Then", "U", "U.S.A", "wait"]
     assert len(list(_dots("a." * 100_000 + " B"))) == 2 and len(units("a." * 100_000 + " B")) == 2
+
+
+def test_an_ordinary_end_of_a_sentence_costs_no_row():
+    def rows(n):
+        b = pd.DataFrame({"field_name": "a", "record_id": range(n), "doc": "d", "text": "The old cat ran. She slept, as ever. Then 3 mice came."})
+        return sum(map(len, _scan(iter([b])))), sum(map(len, _look(frozenset({"cf"}), iter([b]))))
+
+    assert rows(1) == rows(50)
+    assert rows(50)[1] == 0
+
+
+def test_words_are_counted_whatever_stands_about_them():
+    text = "A cat's cat, (cat) cat_2cat; cat\u00a0cat\u2003½cat 3cat.cat\n«cat»cat\tcat\u3000猫。cat"
+    b = pd.DataFrame({"field_name": "a", "record_id": [1, 2], "doc": "d", "text": text})
+    counts = pd.concat(_scan(iter([b]))).query("kind == 'all'").set_index("word")["n"].to_dict()
+    assert counts == {"A": 2, "cat": 26, "s": 2, "½cat": 2, "猫": 2}
+
+
+def test_a_wanted_token_is_looked_for_within_its_blanks():
+    b = pd.DataFrame({"field_name": "a", "record_id": [1, 2, 3], "doc": ["d", "d", None], "text": ["The (tlk. Xy) and ½tlk. Ab or\ttlk's.", "No e.g. Xy or e.g.\nEnd.", "See tlk. Xy."]})
+    got = pd.concat(_look(frozenset({"tlk", "e.g"}), iter([b])))
+    sites, shares = got[got["next"].notna()], got[got["next"].isna()]
+    assert sorted(zip(sites["record_id"], sites["word"], sites["next"])) == [(1, "tlk", "Ab"), (1, "tlk", "Xy"), (2, "e.g", "Xy"), (3, "tlk", "Xy")]
+    assert shares[["doc", "word", "dot", "n"]].values.tolist() == [["d", "tlk", 2, 3]]
+
+
+def test_a_record_may_go_over_batches():
+    rows = [("a", 1, "Ask Dr. Xy. So.", None), ("a", 1, None, "Dr\tXy"), ("b", 1, "Ask Dr. Xy. So.", None), ("b", 1, "One.", None), ("a", 2, "One.", None)]
+    batches = [pd.DataFrame([r], columns=["field_name", "record_id", "text", "keep"]) for r in rows]
+    for some in (batches, [pd.concat(batches)]):
+        got = [r for x in _segment(iter(some)) for r in x.values.tolist()]
+        assert sorted(got) == [["a", 1, 0, 11], ["a", 1, 12, 15], ["a", 2, 0, 4], ["b", 1, 0, 4], ["b", 1, 0, 7], ["b", 1, 8, 11], ["b", 1, 12, 15]]
